@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm.ngrams import marked, ngram_counts
+from geoloom.llm.encode import encoded, token_count
+from geoloom.llm.neighbours import nearest
+from geoloom.llm.packing import pack, summary
 from geoloom.llm.pairs import PairTable, post_words
 from geoloom.llm.top_n import top_n
 from geoloom.sources.tables import table, tokens
@@ -31,6 +34,18 @@ def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("a").alias("word_a"), F.col("b").alias("word_b"), "n_a", "n_b", "n_ab", "lift")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tid_a, tid_b): posts of which one is among the 5 most similar to the other, with a cosine of at least 0.95."""
+    near = nearest(table(spark, sf_dir, "post_embedding"), "tid", "textual_embedding", 5, dim=48, min_similarity=0.95)
+    return near.select(F.least("id", "near").alias("tid_a"), F.greatest("id", "near").alias("tid_b")).distinct()
+
+
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tid, near, sim, rank): the 5 most similar posts, for the posts whose tid is divisible by 20, among all posts."""
+    near = nearest(table(spark, sf_dir, "post_embedding"), "tid", "textual_embedding", 5, dim=48, queries=F.col("id") % 20 == 0)
+    return near.select(F.col("id").alias("tid"), "near", "sim", "rank")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, candidate_id): the ten candidates of each query with the smallest st_unusualness."""
     cand = table(spark, sf_dir, "candidates").select("candidate_id", "query_id").where("query_id is not null").distinct()
@@ -57,7 +72,22 @@ def p7_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_counts(posts, max_n=3).withColumn("ngram", F.replace("ngram", F.lit("\x1f"), F.lit(" ")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_scores, p5_found, p7_found, p7_counts, p7_ngrams)}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, ids): the token ids of every document by byte_bpe_50k."""
+    return table(spark, sf_dir, "documents").select("doc_id", encoded("text").alias("ids"))
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, piece, start, size, container, fill): documents in containers of 2,048 tokens of byte_bpe_50k."""
+    return pack(table(spark, sf_dir, "documents").select("doc_id", token_count("text").alias("n")), "doc_id", "n", 2048)
+
+
+def p9_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: containers used, the certified lower bound, tokens and the share of unused space."""
+    return summary(p9_containers(spark, sf_dir), 2048)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_scores, p4_found, p4_neighbours, p5_found, p7_found, p7_counts, p7_ngrams, p8_ids, p9_containers, p9_summary)}
 
 _POSTS = """post AS (SELECT tid, min(words) AS words FROM tweet WHERE tid IS NOT NULL GROUP BY tid),
 word AS (SELECT tid, w, i FROM (SELECT tid, unnest(string_split(words, ' ')) AS w, unnest(range(1, len(string_split(words, ' ')) + 1)) AS i FROM post) WHERE w <> '')"""
@@ -73,6 +103,13 @@ ORACLES = {
 SELECT word_a, word_b FROM two JOIN one a ON a.w = word_a JOIN one b ON b.w = word_b, n WHERE n_ab >= 10 AND n_ab * n >= 8 * a.c * b.c""",
     "p2_scores": f"""{_PAIRS}
 SELECT word_a, word_b, a.c AS n_a, b.c AS n_b, n_ab, n_ab::DOUBLE * n / (a.c::DOUBLE * b.c) AS lift FROM two JOIN one a ON a.w = word_a JOIN one b ON b.w = word_b, n""",
+    "p4_found": """
+WITH ok AS (SELECT DISTINCT tid, textual_embedding::DOUBLE[] AS v FROM post_embedding
+  WHERE len(textual_embedding) = 48 AND len(list_filter(textual_embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(textual_embedding, lambda x: x <> 0)) > 0),
+near AS (SELECT a.tid AS x, b.tid AS y, list_cosine_similarity(a.v, b.v) AS c FROM ok a JOIN ok b ON a.tid <> b.tid WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+best AS (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY c DESC, y) AS r FROM near)
+SELECT DISTINCT least(x, y) AS tid_a, greatest(x, y) AS tid_b FROM best WHERE r <= 5""",
     "p5_found": """
 SELECT query_id, candidate_id FROM (
   SELECT query_id, candidate_id, row_number() OVER (PARTITION BY query_id ORDER BY st_unusualness + 0.0, candidate_id) AS r
