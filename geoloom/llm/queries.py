@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm.ngrams import marked, ngram_counts
+from geoloom.llm.clusters import close_clusters, typical_members
 from geoloom.llm.encode import encoded, token_count
+from geoloom.llm.lookalike import canonical_forms, visual_words
 from geoloom.llm.neighbours import nearest
 from geoloom.llm.packing import pack, summary
 from geoloom.llm.pairs import PairTable, post_words
 from geoloom.llm.top_n import top_n
 from geoloom.sources.tables import table, tokens
+from geoloom.storage import at_most
 
 
 def _pair_scores(spark: SparkSession, sf_dir: str, min_both: int) -> DataFrame:
@@ -34,6 +37,20 @@ def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("a").alias("word_a"), F.col("b").alias("word_b"), "n_a", "n_b", "n_ab", "lift")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cluster_tid, tid): posts joined by chains of posts at most 80 m and 600 s apart, at least 5 together."""
+    posts = table(spark, sf_dir, "tweet").select("tid", "lat", "lng", "ts")
+    return close_clusters(posts, "tid", "lat", "lng", "ts", 80.0, 600, 5).select(F.col("cluster").alias("cluster_tid"), F.col("id").alias("tid"))
+
+
+def p3_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cluster_tid, size, rank, tid): the size of every cluster and its three most typical posts."""
+    posts = table(spark, sf_dir, "tweet").select("tid", "lat", "lng", "ts")
+    found = close_clusters(posts, "tid", "lat", "lng", "ts", 80.0, 600, 5)
+    t = typical_members(found, posts, "tid", "lat", "lng", "ts", 80.0, 600)
+    return t.select(F.col("cluster").alias("cluster_tid"), "size", "rank", F.col("id").alias("tid"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tid_a, tid_b): posts of which one is among the 5 most similar to the other, with a cosine of at least 0.95."""
     near = nearest(table(spark, sf_dir, "post_embedding"), "tid", "textual_embedding", 5, dim=48, min_similarity=0.95)
@@ -54,6 +71,28 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(cand.join(feat, "candidate_id"), "query_id", "st_unusualness", "candidate_id", 10).select("query_id", "candidate_id")
 
 
+def _spellings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    posts = table(spark, sf_dir, "tweet").select("tid", "words").where("tid is not null and words is not null")
+    vocab = table(spark, sf_dir, "vocab").select("word", "word_id")
+    seen = posts.select(F.explode(visual_words("words")).alias("value"))
+    return posts, canonical_forms(seen, vocab)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tid, word_id): a reader sees the vocab word in the post, but no token of the post is exactly that word."""
+    posts, forms = _spellings(spark, sf_dir)
+    forms = forms.where("word_id is not null")
+    if at_most(forms, 200_000):
+        forms = F.broadcast(forms)
+    seen = posts.withColumn("value", F.explode(F.array_distinct(visual_words("words")))).join(forms, "value")
+    return seen.where(~F.array_contains(tokens("words"), F.col("canonical"))).select("tid", "word_id").distinct()
+
+
+def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value, canonical, word_id): the consistent form of every word that a post shows."""
+    return _spellings(spark, sf_dir)[1]
+
+
 def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(word, cf, df, mark): occurrences and posts of every word, marked if too rare or too common."""
     posts = post_words(table(spark, sf_dir, "tweet").select("tid", "words")).select(tokens("words").alias("terms"))
@@ -87,7 +126,7 @@ def p9_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(p9_containers(spark, sf_dir), 2048)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_scores, p4_found, p4_neighbours, p5_found, p7_found, p7_counts, p7_ngrams, p8_ids, p9_containers, p9_summary)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_scores, p3_found, p3_typical, p4_found, p4_neighbours, p5_found, p6_found, p6_forms, p7_found, p7_counts, p7_ngrams, p8_ids, p9_containers, p9_summary)}
 
 _POSTS = """post AS (SELECT tid, min(words) AS words FROM tweet WHERE tid IS NOT NULL GROUP BY tid),
 word AS (SELECT tid, w, i FROM (SELECT tid, unnest(string_split(words, ' ')) AS w, unnest(range(1, len(string_split(words, ' ')) + 1)) AS i FROM post) WHERE w <> '')"""
@@ -103,6 +142,21 @@ ORACLES = {
 SELECT word_a, word_b FROM two JOIN one a ON a.w = word_a JOIN one b ON b.w = word_b, n WHERE n_ab >= 10 AND n_ab * n >= 8 * a.c * b.c""",
     "p2_scores": f"""{_PAIRS}
 SELECT word_a, word_b, a.c AS n_a, b.c AS n_b, n_ab, n_ab::DOUBLE * n / (a.c::DOUBLE * b.c) AS lift FROM two JOIN one a ON a.w = word_a JOIN one b ON b.w = word_b, n""",
+    "p3_found": """
+WITH RECURSIVE p AS (
+  SELECT DISTINCT tid, lat, lng - 360 * floor((lng + 180) / 360) AS lng, ts FROM tweet
+  WHERE lat IS NOT NULL AND lng IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lng) AND lat BETWEEN -90 AND 90 AND abs(lng) < 1e15 AND NOT (lat = 0 AND lng = 0) AND ts IS NOT NULL),
+cell AS (SELECT *, floor(ts / 601)::BIGINT AS c FROM p),
+near AS (SELECT *, unnest([c - 1, c, c + 1]) AS k FROM cell),
+link AS (
+  SELECT a.tid AS x, b.tid AS y FROM cell a JOIN near b ON a.c = b.k AND a.tid <> b.tid
+  WHERE abs(a.ts - b.ts) <= 600 AND abs(a.lat - b.lat) < 0.001
+    AND 2 * 6373000 * asin(least(1, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2)
+      + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))) <= 80),
+reach AS (SELECT x, y FROM link UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x),
+named AS (SELECT x AS tid, least(x, min(y)) AS cluster_tid FROM reach GROUP BY x),
+big AS (SELECT cluster_tid FROM named GROUP BY cluster_tid HAVING count(*) >= 5)
+SELECT cluster_tid, tid FROM named WHERE cluster_tid IN (SELECT cluster_tid FROM big)""",
     "p4_found": """
 WITH ok AS (SELECT DISTINCT tid, textual_embedding::DOUBLE[] AS v FROM post_embedding
   WHERE len(textual_embedding) = 48 AND len(list_filter(textual_embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
