@@ -12,6 +12,7 @@ from geoloom.llm.lookalike import canonical_forms, visual_words
 from geoloom.llm.neighbours import nearest
 from geoloom.llm.packing import pack, summary
 from geoloom.llm.pairs import PairTable, post_words
+from geoloom.llm.sentences import sentences
 from geoloom.llm.top_n import top_n
 from geoloom.sources.tables import table, tokens
 from geoloom.storage import at_most
@@ -126,7 +127,12 @@ def p9_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(p9_containers(spark, sf_dir), 2048)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_scores, p3_found, p3_typical, p4_found, p4_neighbours, p5_found, p6_found, p6_forms, p7_found, p7_counts, p7_ngrams, p8_ids, p9_containers, p9_summary)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, end_pos): where the sentences of every document end, in code points."""
+    return sentences(table(spark, sf_dir, "documents"), "doc_id", "text", "doc_kind").select("doc_id", "end_pos")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_scores, p3_found, p3_typical, p4_found, p4_neighbours, p5_found, p6_found, p6_forms, p7_found, p7_counts, p7_ngrams, p8_ids, p9_containers, p9_summary, p10_found)}
 
 _POSTS = """post AS (SELECT tid, min(words) AS words FROM tweet WHERE tid IS NOT NULL GROUP BY tid),
 word AS (SELECT tid, w, i FROM (SELECT tid, unnest(string_split(words, ' ')) AS w, unnest(range(1, len(string_split(words, ' ')) + 1)) AS i FROM post) WHERE w <> '')"""
