@@ -107,7 +107,7 @@ def close_clusters(records: DataFrame, id_col: str, lat: str, lng: str, ts: str,
         return F.greatest(F.ceil(F.cos(F.radians(widest)) * (360.0 / side)), F.lit(1))
 
     pt = pt.withColumn("_r", row).withColumn("_c", F.floor((F.col("lng") + 180.0) / 360.0 * columns(F.col("_r")))).withColumn("_t", F.floor(F.col("ts") / span))
-    box = F.xxhash64("_r", "_c", "_t")  # a name for a box; two boxes of one name in a few billion only ever meet in the exact check below
+    box = F.concat_ws(",", "_r", "_c", "_t")
     part = F.pmod(F.floor((F.col("lat") + 90.0) / side * 4), F.lit(4)) * 16 + F.pmod(F.floor((F.col("lng") + 180.0) / 360.0 * columns(F.col("_r")) * 4), F.lit(4)) * 4 + F.floor(F.pmod("ts", F.lit(span)) * 4 / span)
     pt = pt.select("id", "lat", "lng", "ts", "_r", "_c", "_t", box.alias("box"), part.cast("int").alias("part"))
     parts = pt.groupBy("box", "_r", "_t", "part").agg(*_bounds(), F.min("id").alias("least"), F.count("*").alias("n"))

@@ -15,7 +15,7 @@ from geoloom.llm.pairs import PairTable, post_words
 from geoloom.llm.sentences import sentences
 from geoloom.llm.top_n import top_n
 from geoloom.sources.tables import table, tokens
-from geoloom.storage import at_most
+from geoloom.storage import at_most, cut
 
 
 def _pair_scores(spark: SparkSession, sf_dir: str, min_both: int) -> DataFrame:
@@ -82,7 +82,7 @@ def _spellings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tid, word_id): a reader sees the vocab word in the post, but no token of the post is exactly that word."""
     posts, forms = _spellings(spark, sf_dir)
-    forms = forms.where("word_id is not null")
+    forms, _ = cut(forms.where("word_id is not null"), "forms")
     if at_most(forms, 200_000):
         forms = F.broadcast(forms)
     seen = posts.withColumn("value", F.explode(F.array_distinct(visual_words("words")))).join(forms, "value")

@@ -66,11 +66,11 @@ def _trie(words: str) -> dict:
 _LEAD, _NUMBER, _END, _DAYS = _trie(LEADING), _trie(BEFORE_NUMBER), _trie(ENDING), set(CALENDAR.split())
 
 
-def _in(trie: dict, text: str, end: int) -> bool:
-    """Whether a whole word of the trie ends at ``end`` (read backwards, in lower case)."""
+def _in(trie: dict, text: str, start: int, end: int) -> bool:
+    """Whether a whole word of the trie ends at ``end`` (read backwards, in lower case, not beyond ``start``)."""
     i, node = end - 1, trie
-    while i >= 0 and (node := node.get(text[i].lower())) is not None:
-        if "" in node and (i == 0 or not (text[i - 1].isalnum() or text[i - 1] in ".'’")):
+    while i >= start and (node := node.get(text[i].lower())) is not None:
+        if "" in node and (i == start or not (text[i - 1].isalnum() or text[i - 1] in ".'’")):
             return True
         i -= 1
     return False
@@ -147,7 +147,7 @@ def _stop_ends(t: str, start: int, i: int, j: int, after: int) -> bool:
             return False
         if c.isupper():
             whole = len(word) >= 2 and word[-2:].isalnum() and not word[-1].isupper() and not any(x in word for x in "@/_\\")
-            return whole and not _in(_LEAD, t, i) and (nxt + 1 >= len(t) or not t[nxt + 1].isupper() or t[nxt + 1].isspace() or t[nxt + 1] == ".")
+            return whole and not _in(_LEAD, t, start, i) and (nxt + 1 >= len(t) or not t[nxt + 1].isupper() or t[nxt + 1].isspace() or t[nxt + 1] == ".")
         return bool(_CASELESS.match(c)) and not word.endswith("@")
     kind = _starts(t, nxt)
     if t[nxt] in ",;:":
@@ -168,14 +168,14 @@ def _stop_ends(t: str, start: int, i: int, j: int, after: int) -> bool:
     if street:
         before = t[start:k].split()[-1:] or [""]
         return before[0][:1].isupper() and before[0][-1:].isalnum() and len(t[start:k].split()) > 1 and kind in "unc"
-    if _in(_NUMBER, t, i) and (kind == "n" or t[nxt] in "-−" or len(bare) == 1):
+    if _in(_NUMBER, t, start, i) and (kind == "n" or t[nxt] in "-−" or len(bare) == 1):
         return False
-    if _in(_LEAD, t, i):
+    if _in(_LEAD, t, start, i):
         return False
     if bare.lower() in ("a.m", "p.m", "am", "pm"):
         following = regex.match(r"\p{L}+", t[nxt:])
         return kind in "un" and not (following and following.group().lower() in _DAYS) or kind == "c"
-    if _in(_END, t, i) or regex.fullmatch(r"\p{L}(?:\.\p{L})+", bare):
+    if _in(_END, t, start, i) or regex.fullmatch(r"\p{L}(?:\.\p{L})+", bare):
         return kind in "unc" or kind == "p"
     if len(bare) == 1 and bare.isalpha() and not _CASELESS.match(bare):
         return not (kind == "u" or bare.islower())  # an initial
