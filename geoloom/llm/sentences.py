@@ -48,7 +48,7 @@ _EVENT = regex.compile(rf"(?:[.!?。！？｡．؟۔।॥።፧፨…‥‼⁇
 _MARKS = regex.compile(rf"[\"'{regex.escape(''.join(_PAIRS) + ''.join(_PAIRS.values()))}]")
 _EMOJI = r"(?:[\U0001F1E6-\U0001F1FF]{2}|[#*0-9]️?⃣|[\U0001F000-\U0001FAFF☀-➿⬀-⯿⌀-⏿‼⁉〰〽㊗㊙](?:[︎️\U0001F3FB-\U0001F3FF]|‍[\U0001F000-\U0001FAFF☀-➿⬀-⯿]|[\U000E0020-\U000E007F])*)"
 _TAIL = regex.compile(rf"(?:\s*{_EMOJI})*")
-_NEXT = regex.compile(r"\s*")
+_NEXT = regex.compile(r"[\s\p{Cf}]*")
 _FULL = set("。！？｡؟۔।॥።፧፨")
 _CASELESS = regex.compile(r"[\p{Lo}\p{Lm}]")
 
