@@ -66,9 +66,9 @@ _BI = f"""{POST}, {TOK}, u AS (SELECT word, count(*) AS n FROM tok GROUP BY word
 sc AS (SELECT a, b, ua.n AS cnt_a, ub.n AS cnt_b, cnt_ab, (cnt_ab - 5)::DOUBLE / ua.n / ub.n * total AS score FROM b JOIN u ua ON ua.word = a JOIN u ub ON ub.word = b, s WHERE ua.n >= 5 AND ub.n >= 5)"""
 
 
-@query(f"WITH {_BI} SELECT a, b, cnt_a, cnt_b, cnt_ab, round(score, 4) AS score FROM sc")
+@query(f"WITH {_BI} SELECT a, b, cnt_a, cnt_b, cnt_ab, score FROM sc")
 def d33_bigram_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return P.bigram_scores(post_tokens(spark, sf), 5).withColumn("score", F.round("score", 4))
+    return P.bigram_scores(post_tokens(spark, sf), 5)
 
 
 @query()
