@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,28 +36,60 @@ def keep_by_users(m: DataFrame, low: int = 5, high: int = 50) -> DataFrame:
 def keep_nonzero(m: DataFrame, vec: str = "textual_embedding", least: int = 5) -> DataFrame:
     """Members with a non-zero vector, of candidates that keep at least ``least`` of them."""
     ok = m.where((F.array_max(vec) > 0) | (F.array_min(vec) < 0))
-    size = ok.groupBy("candidate_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return ok.join(size.select("candidate_id"), "candidate_id", "left_semi")
+    # a candidate's members were one row's array, so a window over a candidate is small; it saves reading everything twice
+    n = F.count("*").over(Window.partitionBy("candidate_id"))
+    return ok.withColumn("_n", n).where(F.col("_n") >= least).drop("_n")
+
+
+def with_cosines(m: DataFrame, dim: int) -> DataFrame:
+    """Adds cos_s, cos_t, cos_st (null for a zero vector) and the unit vector u of the text (null if zero); drops the vectors.
+
+    The vectors must be complete (``vectors``): whole Arrow batches become matrices without a copy.
+    """
+    names = ["spatial_embedding", "temporal_embedding", "textual_embedding"]
+    rest = [c for c in m.columns if c not in names]
+
+    def cos(a: np.ndarray, b: np.ndarray) -> pa.Array:
+        n = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+        return pa.array(np.einsum("ij,ij->i", a, b) / np.where(n > 0, n, 1), mask=n == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, t, x = (np.asarray(batch[n].flatten(), dtype=np.float64).reshape(-1, dim) for n in names)
+            n = np.linalg.norm(x, axis=1)
+            u = pa.FixedSizeListArray.from_arrays((x / np.where(n > 0, n, 1)[:, None]).ravel(), dim).cast(pa.list_(pa.float64()))
+            u = pa.compute.if_else(pa.array(n > 0), u, pa.scalar(None, u.type))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), cos(s, x), cos(t, x), cos((s + t) / 2, x), u], [*rest, "cos_s", "cos_t", "cos_st", "u"])
+
+    kinds = dict(m.dtypes)
+    return m.select(*rest, *names).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", cos_s double, cos_t double, cos_st double, u array<double>")
+
+
+def _mean_columns(dim: int) -> list[Column]:
+    return [F.avg(F.get("u", F.lit(i))).alias(f"_{i}") for i in range(dim)]
 
 
 def mean_direction(m: DataFrame, key: str, vec: str, dim: int) -> DataFrame:
     """(key, mean): the average of the unit vectors of a group; zero vectors are skipped; one aggregation, no list of members."""
-    u = m.where((F.array_max(vec) > 0) | (F.array_min(vec) < 0)).select(key, unit(vec).alias("_u"))
-    sums = u.groupBy(key).agg(*(F.avg(F.col("_u")[i]).alias(f"_{i}") for i in range(dim)))
-    return sums.select(key, F.array(*(F.col(f"_{i}") for i in range(dim))).alias("mean"))
+    u = m.where((F.array_max(vec) > 0) | (F.array_min(vec) < 0)).select(key, unit(vec).alias("u"))
+    return u.groupBy(key).agg(*_mean_columns(dim)).select(key, F.array(*(F.col(f"_{i}") for i in range(dim))).alias("mean"))
 
 
 def features(m: DataFrame, dim: int) -> DataFrame:
-    """The eight features of every candidate from members with spatial, temporal and textual vectors."""
-    half = F.zip_with("spatial_embedding", "temporal_embedding", lambda x, y: (x.cast("double") + y) / 2)
-    m = m.withColumn("_s", cosine("spatial_embedding", "textual_embedding")).withColumn("_t", cosine("temporal_embedding", "textual_embedding")).withColumn("_b", cosine(half, F.col("textual_embedding")))
-    mean = mean_direction(m, "candidate_id", "textual_embedding", dim)
-    j = m.join(mean, "candidate_id", "left").withColumn("_c", cosine("textual_embedding", "mean"))
-    return j.groupBy("candidate_id").agg(
-        F.avg("_s").alias("spatial_unusualness"), F.avg("_t").alias("temporal_unusualness"), F.avg("_b").alias("st_unusualness"),
+    """The eight features of every candidate from members with complete spatial, temporal and textual vectors.
+
+    The mean cosine of the members to their mean direction is the length of that mean, (1/n) sum u_i . mean / |mean|, so one
+    aggregation gives it together with the rest.
+    """
+    per = with_cosines(m, dim).groupBy("candidate_id").agg(
+        F.avg("cos_s").alias("spatial_unusualness"), F.avg("cos_t").alias("temporal_unusualness"), F.avg("cos_st").alias("st_unusualness"),
         F.stddev_pop("lat").alias("lat_std"), F.stddev_pop("lng").alias("lng_std"), F.stddev_pop("ts").alias("time_std"),
-        F.avg("_c").alias("semantic_std"), F.count("*").cast("double").alias("spatial_burstiness"),
+        F.count("*").cast("double").alias("spatial_burstiness"), *_mean_columns(dim),
     )
+    length = F.sqrt(F.aggregate(F.array(*(F.col(f"_{i}") for i in range(dim))), F.lit(0.0), lambda s, x: s + x * x))
+    return per.select(
+        "candidate_id", "spatial_unusualness", "temporal_unusualness", "st_unusualness", "lat_std", "lng_std", "time_std", F.when(length > 0, length).alias("semantic_std"), "spatial_burstiness"
+    )
 
 
 def rank_within_query(cands: DataFrame, feats: DataFrame, limit: int = 10, spread: float = 0.02) -> DataFrame:
