@@ -75,6 +75,11 @@ def mean_direction(m: DataFrame, key: str, vec: str, dim: int) -> DataFrame:
     return u.groupBy(key).agg(*_mean_columns(dim)).select(key, F.array(*(F.col(f"_{i}") for i in range(dim))).alias("mean"))
 
 
+def mean_of_units(w: DataFrame, key: str, dim: int) -> DataFrame:
+    """(key, mean) from unit vectors u, as ``with_cosines`` gives them."""
+    return w.where("u is not null").groupBy(key).agg(*_mean_columns(dim)).select(key, F.array(*(F.col(f"_{i}") for i in range(dim))).alias("mean"))
+
+
 def features(m: DataFrame, dim: int) -> DataFrame:
     """The eight features of every candidate from members with complete spatial, temporal and textual vectors.
 

@@ -94,7 +94,7 @@ SELECT a.candidate_id, round(avg(list_cosine_similarity(a.mean, b.mean)), 5) AS
 def d21_candidate_uniqueness(spark: SparkSession, sf: str) -> DataFrame:
     m = C.keep_nonzero(_with_vectors(spark, sf))
     q = m.select("candidate_id", "query_id").where("query_id is not null").distinct()
-    u = C.uniqueness(C.mean_direction(m, "candidate_id", "textual_embedding", DIM).join(q, "candidate_id"), DIM)
+    u = C.uniqueness(C.mean_of_units(C.with_cosines(m, DIM), "candidate_id", DIM).join(q, "candidate_id"), DIM)
     return u.where("uniqueness is not null").select("candidate_id", F.round("uniqueness", 5).alias("uniqueness"))
 
 
