@@ -1,10 +1,14 @@
-"""Most similar vectors for every vector: a small-world graph per shard, shard results merged.
+"""Most similar vectors for every vector: each shard searched by scan or small-world graph, shard results merged.
 
 Routing.  Pivots are fitted by spherical k-means on a bounded sample (``sample_rows`` different vectors, a documented
 parameter; everything else covers all rows).  A vector is indexed in the shard of its nearest pivot and searched for in
-the shards of its ``probes`` nearest ones (40 / pivots more, so that a small table is searched nearly whole).  There is a pivot for every ``shard_rows`` vectors, so a shard stays as large
-when the table grows; a pivot that attracts more than four times its share is split by hash into several shards, all of
-which are searched.  Each shard is one task that builds a graph (``hnsw.Graph``) over its own vectors.
+the shards of its ``probes`` nearest ones and of all others at most ``margin`` radians farther than the nearest: where
+several pivots share a topic they lie about as far, so the shards searched grow with the pivots of a topic.  There is a
+pivot for every ``shard_rows`` vectors, at most ``max_pivots``; a pivot that attracts more than ``4 * shard_rows`` vectors
+is split by hash into several shards, all of which are searched.  Each shard is one task.  With ``scan`` it compares a
+searched vector with all its vectors, which is exact; without, it builds a graph (``hnsw.Graph``), which finds close pairs
+but loses many of the farther neighbours of vectors that come from another shard.  Vectors whose lists are not wanted are
+indexed but not searched for.
 
 Exact copies.  Vectors equal number for number (compared by two 64-bit hashes) collapse before anything is routed, so a
 vector that a third of all rows share is indexed once.  Copies come back at the end: a group's neighbour list of k + 1 ids
@@ -55,7 +59,7 @@ def fit_pivots(sample: np.ndarray, pivots: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def _route(pivots: np.ndarray, splits: np.ndarray, probes: int, dim: int):
+def _route(pivots: np.ndarray, splits: np.ndarray, probes: int, margin: float, dim: int):
     base = np.r_[0, np.cumsum(splits)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,41 +67,57 @@ def _route(pivots: np.ndarray, splits: np.ndarray, probes: int, dim: int):
             if not batch.num_rows:
                 continue
             s = _unit(_matrix(batch["v"], dim)) @ pivots.T
-            p = min(probes, s.shape[1])
-            near = np.argpartition(-s, p - 1, axis=1)[:, :p]
-            near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), 1, kind="stable"), 1)
+            near = np.argsort(-s, axis=1, kind="stable")
+            far = np.arccos(np.clip(np.take_along_axis(s, near, 1), -1.0, 1.0))
+            asked = np.asarray(batch["asked"].to_numpy(zero_copy_only=False), dtype=bool)
+            reach = np.where(asked, np.maximum(probes, (far <= far[:, :1] + margin).sum(1)), 1)
             part = np.asarray(batch["h"]).astype(np.uint64)
-            for j in range(p):
-                wide = splits[near[:, j]]
+            for j in range(min(int(reach.max()), s.shape[1])):
+                wide = np.where(reach > j, splits[near[:, j]], 0)
                 for k in range(int(wide.max())):
                     take = np.flatnonzero(wide > k)
                     home = (part[take] % wide[take].astype(np.uint64)).astype(np.int64) == k
-                    shard = base[near[take, j]] + k
-                    cols = [pa.array(shard), batch["rep"].take(pa.array(take)), pa.array(home & (j == 0)), batch["v"].take(pa.array(take))]
-                    yield pa.RecordBatch.from_arrays(cols, ["shard", "rep", "indexed", "v"])
+                    take, home = take[home | asked[take]], home[home | asked[take]]
+                    shard, at = base[near[take, j]] + k, pa.array(take)
+                    cols = [pa.array(shard), batch["rep"].take(at), pa.array(home & (j == 0)), batch["asked"].take(at), batch["v"].take(at)]
+                    yield pa.RecordBatch.from_arrays(cols, ["shard", "rep", "indexed", "asked", "v"])
 
     return run
 
 
-def _search(k: int, links: int, beam: int, dim: int, least: float):
+def _scan(x: np.ndarray, k: int, q: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, similarities) of exactly the k most similar rows of x for each query but its own row; -1 where there are fewer."""
+    k, nodes, sims = min(k, len(x)), [], []
+    for i in range(0, len(q), 256):
+        s = q[i : i + 256] @ x.T
+        mine = np.flatnonzero(own[i : i + 256] >= 0)
+        s[mine, own[i : i + 256][mine]] = -2.0
+        best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        sims.append(np.take_along_axis(s, best, 1))
+        nodes.append(np.where(sims[-1] > -1.5, best, -1))
+    return np.concatenate(nodes), np.concatenate(sims)
+
+
+def _search(k: int, links: int, beam: int, dim: int, least: float, scan: bool):
     def run(group: pa.Table) -> pa.Table:
-        raw, rep, indexed = _matrix(group["v"], dim), np.asarray(group["rep"]), np.asarray(group["indexed"])
+        raw, rep, indexed, asked = _matrix(group["v"], dim), *(np.asarray(group[n]) for n in ("rep", "indexed", "asked"))
         order = np.argsort(rep, kind="stable")  # the same graph however the rows arrive
-        raw, rep, indexed = raw[order], rep[order], indexed[order]
+        raw, rep, indexed, asked = raw[order], rep[order], indexed[order], np.flatnonzero(asked[order])
         x = _unit(raw)
         at = np.flatnonzero(indexed)
         at = at[np.random.default_rng(7).permutation(len(at))]
         empty = pa.table({"rep": pa.array([], pa.int64()), "near": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-        if not len(at):
+        if not len(at) or not len(asked):
             return empty
-        graph = Graph(x[at], links, beam)
+        graph = None if scan else Graph(x[at], links, beam)
         own = np.full(len(x), -1)
         own[at] = np.arange(len(at))
         out = []
-        for i in range(0, len(x), 8192):
-            node, rough = graph.search(x[i : i + 8192], k + 1, own=own[i : i + 8192])
+        for i in range(0, len(asked), 8192):
+            some = asked[i : i + 8192]
+            node, rough = _scan(x[at], k + 1, x[some], own[some]) if scan else graph.search(x[some], k + 1, own=own[some])
             q, c = np.nonzero((node >= 0) & (rough >= least - 1e-4))
-            a, b = q + i, at[node[q, c]]
+            a, b = some[q], at[node[q, c]]
             a, b = a[rep[a] != rep[b]], b[rep[a] != rep[b]]
             y, z = raw[a].astype(np.float64), raw[b].astype(np.float64)
             y /= np.maximum(np.abs(y).max(1, keepdims=True), 1e-300) if len(y) else 1
@@ -112,7 +132,7 @@ def _search(k: int, links: int, beam: int, dim: int, least: float):
 
 def nearest(
     df: DataFrame, id_col: str, vec: str, k: int, *, dim: int, min_similarity: float = -2.0, queries: Column | None = None,
-    shard_rows: int = 6000, probes: int = 3, links: int = 10, beam: int = 20, sample_rows: int = 50_000,
+    shard_rows: int = 6000, probes: int = 3, margin: float = 0.3, max_pivots: int = 128, scan: bool = True, links: int = 10, beam: int = 20, sample_rows: int = 50_000,
 ) -> DataFrame:
     """(id, near, sim, rank): for every id the k ids with the most similar vector by cosine, ties by the smaller id.
 
@@ -127,21 +147,21 @@ def nearest(
     rows = rows.withColumn("h", F.xxhash64("v")).withColumn("h2", F.hash("v"))
     total = rows.count()
     members = rows.select("h", "h2", "id").distinct()
-    groups = rows.groupBy("h", "h2").agg(F.min("id").alias("rep"), F.first("v").alias("v"))
+    wanted = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
+    groups = rows.groupBy("h", "h2").agg(F.min("id").alias("rep"), F.first("v").alias("v"), F.max(wanted).alias("asked"))
     step = max(1, total // sample_rows)
     sample = rows.where(F.pmod("h", F.lit(step)) == 0).groupBy("h", "h2").agg(F.first("v").alias("v")).orderBy("h", "h2").limit(2 * sample_rows)
     fitted = sample.select("v").toArrow()["v"]
     if not len(fitted):
         return spark.createDataFrame([], "id bigint, near bigint, sim double, rank bigint")
     unit = _unit(_matrix(fitted, dim))
-    n = max(1, min(total // shard_rows, len(unit) // 20))
+    n = max(1, min(total // shard_rows, len(unit) // 20, max_pivots))
     pivots = fit_pivots(unit, n)
-    probes += 40 // n  # a few coarse pivots part more neighbours than many do
     share = np.bincount((unit @ pivots.T).argmax(1), minlength=n) / len(unit) * total
     splits = np.maximum(1, np.ceil(share / (4 * shard_rows))).astype(np.int64)
     list_type = rows.schema["v"].dataType.simpleString()
-    routed = groups.select("h", "rep", "v").mapInArrow(_route(pivots, splits, probes, dim), f"shard bigint, rep bigint, indexed boolean, v {list_type}")
-    found = routed.groupBy("shard").applyInArrow(_search(k, links, beam, dim, min_similarity), "rep bigint, near bigint, sim double")
+    routed = groups.select("h", "rep", "asked", "v").mapInArrow(_route(pivots, splits, probes, margin, dim), f"shard bigint, rep bigint, indexed boolean, asked boolean, v {list_type}")
+    found = routed.groupBy("shard").applyInArrow(_search(k, links, beam, dim, min_similarity, scan), "rep bigint, near bigint, sim double")
 
     # copies: the k + 1 smallest ids of each group stand for it in other lists
     size = members.groupBy("h", "h2").agg(F.count("*").alias("c"), F.min("id").alias("rep"))

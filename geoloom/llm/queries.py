@@ -54,7 +54,7 @@ def p3_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tid_a, tid_b): posts of which one is among the 5 most similar to the other, with a cosine of at least 0.95."""
-    near = nearest(table(spark, sf_dir, "post_embedding"), "tid", "textual_embedding", 5, dim=48, min_similarity=0.95)
+    near = nearest(table(spark, sf_dir, "post_embedding"), "tid", "textual_embedding", 5, dim=48, min_similarity=0.95, margin=0.1, scan=False)  # the graph finds pairs as close as these
     return near.select(F.least("id", "near").alias("tid_a"), F.greatest("id", "near").alias("tid_b")).distinct()
 
 

@@ -163,6 +163,21 @@ def test_neighbours_with_copies_and_dirt(spark):
     assert {r.id for r in neighbours.nearest(df, "tid", "v", 2, dim=8, queries=F.col("id") % 20 == 0).collect()} == set(range(0, 340, 20))
 
 
+def test_neighbours_with_more_pivots_than_topics(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((4000, 24)) + 3 * rng.standard_normal((8, 24))[rng.integers(0, 8, 4000)]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "tid bigint, v array<float>")
+    got: dict = {}
+    for r in neighbours.nearest(df, "tid", "v", 5, dim=24, shard_rows=50, queries=F.col("id") % 20 == 0).collect():
+        got.setdefault(r.id, set()).add(r.near)
+    x = x.astype("f4").astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    assert set(got) == set(range(0, 4000, 20))
+    assert np.mean([len(got[i] & set(np.argsort(-s[i])[:5])) / 5 for i in got]) > 0.95
+
+
 # 5 top n
 
 
