@@ -35,35 +35,80 @@ def nearest_centre(points: DataFrame, centres: DataFrame, value: list[str], limi
     return points.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema) + f", id {kind}")
 
 
-def mean_shift(points: DataFrame, value: list[str], bandwidth: float, rounds: int = 50) -> DataFrame:
-    """(id, value..., n): flat-kernel mean shift with seeds on a grid of the bandwidth.
-
-    Points are first counted on a fine grid, a twentieth of the bandwidth, as sums: the shift of a seed is a join of the
-    seeds with the grid sums of the cells around it and a weighted mean.  Each round is one join on cells of the bandwidth.
-    Ends when no seed moves more than a thousandth of the bandwidth.  Seeds within a bandwidth of one with more points fall
-    away, from the strongest down.
+TILE, HALO = 32, 4  # bandwidths
+
+
+def _shifts(value: list[str], bandwidth: float, rounds: int):
+    """Moves the seeds of a tile over its grid rows until they settle, or until they come near the edge of the halo."""
+    dims = len(value)
+    cells = [f"_c{i}" for i in range(dims)]
+
+    def run(key: tuple, seeds: pd.DataFrame, grid: pd.DataFrame) -> pd.DataFrame:
+        low = np.array(key, dtype=np.int64) * TILE - HALO
+        wide = TILE + 2 * HALO
+        local = grid[cells].to_numpy(dtype=np.int64) - low
+        flat = local[:, 0] if dims == 1 else local[:, 0] * wide + local[:, 1]
+        order = np.lexsort((*(grid[c].to_numpy() for c in value), flat))
+        flat, x, w = flat[order], grid[value].to_numpy(dtype=float)[order], grid["n"].to_numpy(dtype=float)[order]
+        at, n, used, settled = seeds[value].to_numpy(dtype=float), seeds["n"].to_numpy(copy=True), seeds["used"].to_numpy(copy=True), np.zeros(len(seeds), bool)
+        for i in range(len(at)):
+            while not settled[i] and used[i] < rounds:
+                c = np.floor(at[i] / bandwidth).astype(np.int64) - low
+                if (c < 1).any() or (c > wide - 2).any():
+                    break
+                starts = [c[0] - 1] if dims == 1 else [(c[0] + o) * wide + c[1] - 1 for o in (-1, 0, 1)]
+                near = np.concatenate([np.arange(*np.searchsorted(flat, (k, k + 3))) for k in starts])
+                near = near[((x[near] - at[i]) ** 2).sum(1) <= bandwidth**2]
+                if not len(near):  # a mean with nothing around it stays
+                    settled[i] = True
+                    break
+                total = w[near].sum()
+                new = (x[near] * w[near, None]).sum(0) / total
+                settled[i] = np.sqrt(((new - at[i]) ** 2).sum()) < bandwidth / 1000
+                at[i], n[i], used[i] = new, total, used[i] + 1
+        return seeds.assign(**{c: at[:, j] for j, c in enumerate(value)}, n=n, used=used, settled=settled)[["id", *value, "n", "used", "settled"]]
+
+    return run
+
+
+def mean_shift(points: DataFrame, value: list[str], bandwidth: float, rounds: int = 10_000) -> DataFrame:
+    """(id, value..., n): flat-kernel mean shift with seeds on a grid of the bandwidth, for one or two values.
+
+    Points are first counted on a fine grid, a twentieth of the bandwidth, as sums: the shift of a seed is a weighted mean of
+    the grid rows within the bandwidth.  Seeds move inside tiles of 32 bandwidths with a halo of 4, whose grid rows are
+    bounded whatever the number of points; those that leave the halo go on in another tile, settled ones are done.
+    A seed ends when it moves less than a thousandth of the bandwidth; one that needs more than ``rounds`` shifts raises.
+    Seeds within a bandwidth of one with more points fall away, from the strongest down.
     """
-    fine = bandwidth / 20
+    if len(value) > 2:
+        raise ValueError("mean_shift takes one or two values")
+    fine, dims = bandwidth / 20, range(len(value))
     keys = [F.floor(F.col(c) / fine) for c in value]
     g = points.where(" and ".join(f"{c} is not null" for c in value)).groupBy(*(k.alias(f"_f{i}") for i, k in enumerate(keys)))
     g = g.agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in value))
     g, _ = cut(g.select("n", *value, *(F.floor(F.col(c) / bandwidth).alias(f"_c{i}") for i, c in enumerate(value))), "grid")
-    seeds = g.groupBy(*(f"_c{i}" for i in range(len(value)))).agg(*((F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in value)).select(*value).withColumn("id", F.xxhash64(*value))
-    seeds, _ = cut(seeds, "seeds")
-    for _ in range(rounds):
-        s = seeds
+    seeds = g.groupBy(*(f"_c{i}" for i in dims)).agg(*((F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in value)).select(*value).withColumn("id", F.xxhash64(*value))
+    seeds = seeds.select("id", *value, F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("used"))
+    tiles = [f"_t{i}" for i in dims]
+    spread = g
+    for i in dims:
+        spread = spread.withColumn(f"_t{i}", F.explode(F.sequence(F.floor((F.col(f"_c{i}") - HALO) / TILE), F.floor((F.col(f"_c{i}") + HALO) / TILE))))
+    schema = "id bigint, " + ", ".join(f"{c} double" for c in value) + ", n bigint, used bigint, settled boolean"
+    done = None
+    while True:
         for i, c in enumerate(value):
-            s = s.withColumn(f"_c{i}", F.explode(F.array(*(F.floor(F.col(c) / bandwidth) + o for o in (-1, 0, 1)))))
-        a, b = s.alias("a"), g.alias("b")
-        near = sum((F.col(f"a.{c}") - F.col(f"b.{c}")) ** 2 for c in value) <= bandwidth**2
-        j = a.join(b, [F.col(f"a._c{i}") == F.col(f"b._c{i}") for i in range(len(value))]).where(near)
-        new = j.groupBy("a.id").agg(F.sum("b.n").alias("n"), *((F.sum(F.col(f"b.{c}") * F.col("b.n")) / F.sum("b.n")).alias(c) for c in value), *(F.first(f"a.{c}").alias(f"_o{i}") for i, c in enumerate(value)))
-        moved = F.sqrt(sum((F.col(c) - F.col(f"_o{i}")) ** 2 for i, c in enumerate(value)))
-        new, _ = cut(new.withColumn("_m", moved), "shift")
-        far = new.agg(F.max("_m")).first()[0]
-        seeds = new.select("id", *value, "n")
-        if far is None or far < bandwidth / 1000:
+            seeds = seeds.withColumn(f"_t{i}", F.floor(F.col(c) / bandwidth / TILE))
+        moved = seeds.groupBy(*tiles).cogroup(spread.join(seeds.select(*tiles).distinct(), tiles, "left_semi").groupBy(*tiles)).applyInPandas(_shifts(value, bandwidth, rounds), schema)
+        moved, _ = cut(moved, "shift")
+        ended = moved.where("settled").select(*value, "n")
+        done = ended if done is None else done.unionByName(ended)
+        seeds = moved.where("not settled").drop("settled")
+        left = seeds.agg(F.count("*"), F.max("used")).first()
+        if not left[0]:
             break
+        if left[1] >= rounds:
+            raise RuntimeError(f"mean shift: seeds still move after {rounds} shifts")
+    seeds = done
     # equal ends merge in the cluster first; the greedy choice is made per connected stretch of cells, strongest first
     ends = seeds.groupBy(*(F.round(F.col(c), 9).alias(c) for c in value)).agg(F.max("n").alias("n"))
 

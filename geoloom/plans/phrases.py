@@ -155,7 +155,7 @@ def h1_mean_shift_times(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def h1_mean_shift_places(spark: SparkSession, sf: str) -> DataFrame:
     p = posts(spark, sf, "lat", "lng", located=True).select("lat", wrap_lng(F.col("lng")).alias("lng"))
-    return K.mean_shift(p, ["lat", "lng"], 0.01, rounds=12)
+    return K.mean_shift(p, ["lat", "lng"], 0.01)
 
 
 @query()

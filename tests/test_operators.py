@@ -159,6 +159,35 @@ def test_parsers_take_every_text(spark, tmp_path):
     assert {r[0]: r[1] for r in q.g4_sentence_parts(spark, str(tmp_path)).collect()} == parts
 
 
+def test_mean_shift_ends_settled(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.random((3000, 2)) * [0.5, 0.2], rng.random((400, 2)) * 0.05])
+    m = np.array([(r.lat, r.lng, r.n) for r in clustering.mean_shift(spark.createDataFrame(x.tolist(), "lat double, lng double"), ["lat", "lng"], 0.01).collect()])
+    g: dict = {}
+    for p in x:
+        g.setdefault(tuple(np.floor(p / (0.01 / 20))), []).append(p)
+    c, n = np.array([np.mean(p, 0) for p in g.values()]), np.array([len(p) for p in g.values()])
+
+    def shift(a):
+        near = ((c - a) ** 2).sum(1) <= 0.01**2
+        return (c[near] * n[near, None]).sum(0) / n[near].sum()
+
+    assert max(np.linalg.norm(shift(a) - a) for a in m[:, :2]) < 0.01 / 100
+    cell = np.floor(c / 0.01).astype(int)
+    ends = []
+    for k in np.unique(cell, axis=0):  # every seed on its own, over all rows
+        at = (cell == k).all(1)
+        a = (c[at] * n[at, None]).sum(0) / n[at].sum()
+        while np.linalg.norm((b := shift(a)) - a) >= 0.01 / 1000:
+            a = b
+        ends.append((int(n[((c - a) ** 2).sum(1) <= 0.01**2].sum()), *b.round(9)))
+    kept: list = []
+    for e in sorted(set(ends), key=lambda e: (-e[0], e[1:])):
+        if all((e[1] - k[1]) ** 2 + (e[2] - k[2]) ** 2 > 0.01**2 for k in kept):
+            kept.append(e)
+    assert sorted(k[0] for k in kept) == sorted(m[:, 2].astype(int))
+
+
 def test_propagation_and_analogy(spark):
     s = spark.createDataFrame([("p q", 1.0), ("r s", 0.0)], "word string, score double")
     n = spark.createDataFrame([("p", "p q", 1.0), ("r", "r s", 1.0), ("the", "p q", 1.0)], "word string, near string, sim double")
