@@ -196,7 +196,7 @@ def h12_mixture_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
     m = _with_vectors(spark, sf).where("query_id is not null and lat is not null and lng is not null").select("query_id", "tid", "lat", "lng", F.col("textual_embedding").alias("vec")).distinct()
     m = m.where((F.array_max("vec") > 0) | (F.array_min("vec") < 0))
-    return cluster_windows(m, "query_id", clusters=20, sweeps=10).select("query_id", "tid", "cluster_id")
+    return cluster_windows(m, "query_id").select("query_id", "tid", "cluster_id")
 
 
 @query()

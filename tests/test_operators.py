@@ -188,6 +188,27 @@ def test_mean_shift_ends_settled(spark):
     assert sorted(k[0] for k in kept) == sorted(m[:, 2].astype(int))
 
 
+def test_mixture_query_uses_the_full_model(monkeypatch, spark):
+    import inspect
+
+    from geoloom.plans import events
+
+    seen = {}
+    sign = inspect.signature(mixture.cluster_windows)
+
+    def spy(*args, **kw):
+        bound = sign.bind(*args, **kw)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+        return spark.createDataFrame([], "query_id int, tid bigint, cluster_id int")
+
+    monkeypatch.setattr(mixture, "cluster_windows", spy)
+    empty = spark.createDataFrame([], "query_id int, tid bigint, lat double, lng double, textual_embedding array<double>")
+    monkeypatch.setattr(events, "_with_vectors", lambda *_: empty)
+    events.h12_mixture_clusters(spark, "")
+    assert (seen["clusters"], seen["sweeps"]) == (200, 50)
+
+
 def test_propagation_and_analogy(spark):
     s = spark.createDataFrame([("p q", 1.0), ("r s", 0.0)], "word string, score double")
     n = spark.createDataFrame([("p", "p q", 1.0), ("r", "r s", 1.0), ("the", "p q", 1.0)], "word string, near string, sim double")
