@@ -8,11 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.storage import cut
+
 
 def frequent_ngrams(records: DataFrame, tokens: str, max_n: int, threshold: int) -> DataFrame:
     """(phrase, n, cnt): overlapping n-grams without '$' that occur at least ``threshold`` times, all prefixes frequent too.
 
-    One pass a length; an n-gram is only made where its prefix is frequent (a semi-join on the shorter phrases).
+    One pass a length; an n-gram is only made where its prefix is frequent (a semi-join on the shorter phrases, which are
+    written as a table first).  Ends at the first length without phrases, as none longer can be frequent.
     """
     base = records.select(F.monotonically_increasing_id().alias("_id"), F.col(tokens).alias("_w"))
     out, prev = None, None
@@ -22,7 +25,9 @@ def frequent_ngrams(records: DataFrame, tokens: str, max_n: int, threshold: int)
         if prev is not None:
             g = g.withColumn("phrase", F.array_join(F.slice("_g", 1, n - 1), " ")).join(prev.select("phrase"), "phrase", "left_semi")
         c = g.select(F.array_join("_g", " ").alias("phrase")).groupBy("phrase").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= threshold)
-        c = c.select("phrase", F.lit(n).cast("bigint").alias("n"), "cnt")
+        c, _ = cut(c.select("phrase", F.lit(n).cast("bigint").alias("n"), "cnt"), "grams")
+        if prev is not None and c.isEmpty():
+            break
         out, prev = (c if out is None else out.unionByName(c)), c
     return out
 

@@ -43,7 +43,7 @@ gram AS (SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3)
 
 @query(f"WITH {_GRAMS} SELECT phrase, n::BIGINT AS n, cnt FROM gram")
 def d27_frequent_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    return P.frequent_ngrams(_records(spark, sf), "w", 3, 20)
+    return P.frequent_ngrams(_records(spark, sf), "w", 6, 20)
 
 
 @query(f"""WITH {_GRAMS}, s AS (SELECT count(*) AS total FROM tok), p AS (SELECT phrase, n, cnt, cnt / (total::DOUBLE / n) AS p FROM gram, s),

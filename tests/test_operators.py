@@ -143,22 +143,6 @@ def test_mean_shift(spark):
     assert len(m) == 2 and abs(m[0].s - 100) < 3 and abs(m[1].s - 500) < 3 and m[0].n == 60
 
 
-def test_parsers_take_every_text(spark, tmp_path):
-    import re
-
-    from geoloom.plans import posts as q
-
-    texts = ["Hello, World! (x)", "Caf\u00e9 A1\nB-2; caf\u00e9.", "\u0130stanbul's 5\u212a", "\u4f60\u597d", "", None]
-    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "tid bigint, raw string").write.parquet(str(tmp_path / "tweet.parquet"))
-    spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(zip(texts, ["en", "EN", "tr", None, "en", "en"]))], "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
-    some = [(i, t) for i, t in enumerate(texts) if t is not None]
-    clean = lambda t, keep="": re.sub(f"[^a-z{keep}]+", " ", t).strip(" ")
-    assert {r[0]: r[1] for r in q.g1_parse_words(spark, str(tmp_path)).collect()} == {i: " ".join(w.lower() for w in re.findall("[0-9a-zA-Z]+", t) if len(w) >= 2) for i, t in some}
-    assert {r[0]: r[1] for r in q.g10_normalize_phrase(spark, str(tmp_path)).collect()} == {i: clean(t.lower()) for i, t in some}
-    parts = {i: sum(clean(s, "'") != "" for s in re.split('[.!?,;:()"\\[\\]]', t.lower())) for i, t in some}
-    assert {r[0]: r[1] for r in q.g4_sentence_parts(spark, str(tmp_path)).collect()} == parts
-
-
 def test_mean_shift_ends_settled(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.random((3000, 2)) * [0.5, 0.2], rng.random((400, 2)) * 0.05])
@@ -188,6 +172,31 @@ def test_mean_shift_ends_settled(spark):
     assert sorted(k[0] for k in kept) == sorted(m[:, 2].astype(int))
 
 
+def test_phrases_up_to_six_words(spark, tmp_path):
+    from geoloom.plans.phrases import d27_frequent_ngrams
+
+    df = spark.createDataFrame([(i, "a b c d e f g") for i in range(20)] + [(20, "a b")], "tid bigint, words string")
+    df.write.parquet(str(tmp_path / "tweet.parquet"))
+    got = {r.phrase: (r.n, r.cnt) for r in d27_frequent_ngrams(spark, str(tmp_path)).collect()}
+    assert got["a b"] == (2, 21) and got["a b c d e f"] == (6, 20) and max(n for n, _ in got.values()) == 6 and len(got) == 7 + 6 + 5 + 4 + 3 + 2
+
+
+def test_parsers_take_every_text(spark, tmp_path):
+    import re
+
+    from geoloom.plans import posts as q
+
+    texts = ["Hello, World! (x)", "Caf\u00e9 A1\nB-2; caf\u00e9.", "\u0130stanbul's 5\u212a", "\u4f60\u597d", "", None]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "tid bigint, raw string").write.parquet(str(tmp_path / "tweet.parquet"))
+    spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(zip(texts, ["en", "EN", "tr", None, "en", "en"]))], "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    some = [(i, t) for i, t in enumerate(texts) if t is not None]
+    clean = lambda t, keep="": re.sub(f"[^a-z{keep}]+", " ", t).strip(" ")
+    assert {r[0]: r[1] for r in q.g1_parse_words(spark, str(tmp_path)).collect()} == {i: " ".join(w.lower() for w in re.findall("[0-9a-zA-Z]+", t) if len(w) >= 2) for i, t in some}
+    assert {r[0]: r[1] for r in q.g10_normalize_phrase(spark, str(tmp_path)).collect()} == {i: clean(t.lower()) for i, t in some}
+    parts = {i: sum(clean(s, "'") != "" for s in re.split('[.!?,;:()"\\[\\]]', t.lower())) for i, t in some}
+    assert {r[0]: r[1] for r in q.g4_sentence_parts(spark, str(tmp_path)).collect()} == parts
+
+
 def test_mixture_query_uses_the_full_model(monkeypatch, spark):
     import inspect
 
