@@ -1,4 +1,4 @@
-"""Streams of posts: anchored bins and a sliding clusterer with state."""
+"""Streams of posts: anchored bins, window counts and sliding sums of places with state; no clusterer."""
 
 from __future__ import annotations
 
