@@ -23,9 +23,12 @@ FAN_IN, RELEASE = 32, 48
 _OUT = "doc_id bigint, piece int, size int, container string, fill int, open boolean"
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Containers that any packing of these sizes (1 to capacity) needs, by two families of dual-feasible functions."""
-    s, n = np.unique(np.asarray(sizes, dtype=np.int64), return_counts=True)
+def lower_bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """Containers that any packing of these sizes (1 to capacity) needs, by two families of dual-feasible functions.
+
+    ``counts``: how often each size occurs; the sizes must then be different.
+    """
+    s, n = (np.asarray(sizes, dtype=np.int64), np.asarray(counts, dtype=np.int64)) if counts is not None else np.unique(np.asarray(sizes, dtype=np.int64), return_counts=True)
     if not len(s):
         return 0
     best = -(-int((s * n).sum()) // capacity)
@@ -88,9 +91,9 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int, partition_
     0).  Items with a null id, a null size or a size below 1 take no place.  A repeated id counts once, with its largest
     size.  An empty table gives an empty result.
     """
-    spark = items.sparkSession
-    one = items.where(F.col(id_col).isNotNull() & (F.col(size_col) > 0)).groupBy(F.col(id_col).cast("bigint").alias("doc_id")).agg(F.max(size_col).cast("int").alias("total"))
-    one, _ = cut(one, "sizes")  # the sizes may be dear (a tokenizer's): made once
+    one = items.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("doc_id")).agg(F.max(size_col).cast("int").alias("total"))
+    one, _ = cut(one, "sizes")  # the sizes may be dear (a tokenizer's): made once, and no condition on them reaches their maker
+    one = one.where("total > 0")
     full = one.where(F.col("total") > capacity).select("doc_id", F.explode(F.expr(f"cast(sequence(0, total div {capacity} - 1) as array<int>)")).alias("piece"))
     done = [full.select("doc_id", "piece", F.lit(capacity).alias("size"), F.concat(F.lit("d"), "doc_id", F.lit("-"), "piece").alias("container"), F.lit(capacity).alias("fill"))]
     rest = one.select("doc_id", F.expr(f"cast(if(total > {capacity}, total div {capacity}, 0) as int)").alias("piece"), F.expr(f"cast(if(total > {capacity}, total % {capacity}, total) as int)").alias("size")).where("size > 0")
@@ -111,10 +114,9 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int, partition_
 
 def summary(packed: DataFrame, capacity: int) -> DataFrame:
     """One row: containers, certified lower bound, tokens, share of unused space.  Collects one count per size."""
-    spark = packed.sparkSession
     # bounded: at most one row for every size up to the capacity
     sizes = packed.groupBy("size").agg(F.count("*").alias("n")).toPandas()
-    bound = lower_bound(np.repeat(sizes["size"].to_numpy(), sizes["n"].to_numpy()), capacity) if len(sizes) else 0
+    bound = lower_bound(sizes["size"].to_numpy(), capacity, sizes["n"].to_numpy())
     return packed.agg(
         F.countDistinct("container").alias("containers"), F.lit(int(bound)).cast("bigint").alias("lower_bound"), F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("tokens"),
     ).withColumn("unused_share", F.try_divide(F.col("containers") * float(capacity) - F.col("tokens"), F.col("containers") * float(capacity)))

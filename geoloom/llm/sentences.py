@@ -1,11 +1,14 @@
 """Sentence boundaries across languages and scripts: a pushdown automaton over each text.
 
 A text is cut at blank lines.  In each paragraph a first pass with a stack pairs quotation marks and brackets (an opener
-without its closer is an ordinary character).  The second pass reads terminators of all scripts, blanks between Thai
-letters, list markers and the paired openers.  An opener pushes: nothing inside a pair ends the sentence outside, and when
+without its closer is an ordinary character), and one over the lines keeps a stack of list levels (indent, kind of marker,
+number).  The second pass reads terminators of all scripts, blanks between Thai letters, list items and the paired openers.  An opener pushes: nothing inside a pair ends the sentence outside, and when
 it pops the automaton decides by what stands before it and what follows whether the quotation stood alone.  At a full stop
 the word before it is looked up, read backwards, in tries of abbreviations.
 
+A line that opens with a marker is an item if its level has a second item or its marker is a bullet sign or 'N)'; an item
+ends the sentence before it.  A single '-', '*', '1.' or 'a)' at the start of a line is ordinary text.
+
 Two kinds of abbreviations: those that always lead on (titles, 'e.g.', or page and number signs before a digit), and those
 that may also end a sentence ('etc.', 'p.m.', 'Inc.'), which do so before what looks like the start of a sentence.
 """
@@ -15,7 +18,8 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,12 +48,13 @@ _BRACKETS = set("([{（［【〔")
 _CLOSERS = "\"'”’»›」』》〉)]}）］】〕“"
 _BLANK_LINE = regex.compile(r"(?:\r\n|[\n\r\x0b\x0c\x85 ])[^\S\r\n\x0b\x0c\x85 ]*(?:\r\n|[\n\r\x0b\x0c\x85 ])\s*| \s*")
 _STOPS = ".!?。！？｡．؟۔।॥።፧፨…‥‼⁇⁈⁉;"
-_EVENT = regex.compile(rf"(?:[.!?。！？｡．؟۔।॥።፧፨…‥‼⁇⁈⁉]+|(?<=\p{{Greek}})[;;]|(?<=[฀-๿])\s+|[\r\n]+[ \t]*(?:[•▪‣◦●]|\d{{1,3}}\))(?=\s)|[\"'{regex.escape(''.join(_PAIRS))}])")
+_EVENT = regex.compile(rf"(?:[.!?。！？｡．؟۔।॥።፧፨…‥‼⁇⁈⁉]+|(?<=\p{{Greek}})[;;]|(?<=[฀-๿])\s+|[\r\n]+|[\"'{regex.escape(''.join(_PAIRS))}])")
 _MARKS = regex.compile(rf"[\"'{regex.escape(''.join(_PAIRS) + ''.join(_PAIRS.values()))}]")
 _EMOJI = r"(?:[\U0001F1E6-\U0001F1FF]{2}|[#*0-9]️?⃣|[\U0001F000-\U0001FAFF☀-➿⬀-⯿⌀-⏿‼⁉〰〽㊗㊙](?:[︎️\U0001F3FB-\U0001F3FF]|‍[\U0001F000-\U0001FAFF☀-➿⬀-⯿]|[\U000E0020-\U000E007F])*)"
 _TAIL = regex.compile(rf"(?:\s*{_EMOJI})*")
 _NEXT = regex.compile(r"[\s\p{Cf}]*")
 _FULL = set("。！？｡؟۔।॥።፧፨")
+_MARKER = regex.compile(r"(?:^|(?<=[\r\n]))([^\S\r\n]*)(?:([•▪‣◦●])|([-–*+])|(\(?)(?:(\d{1,3})([.)])|(\p{L})\)))(?=[^\S\r\n])")
 _CASELESS = regex.compile(r"[\p{Lo}\p{Lm}]")
 
 
@@ -108,13 +113,35 @@ def _paired(t: str) -> dict[int, int]:
         for k in range(len(stack) - 1, -1, -1):
             o, at = stack[k]
             if (o == close) if close in "\"'" else (close in _PAIRS.get(o, "")):
-                if close not in "\"'" or i - at <= 1000:
-                    pairs[at] = i
+                pairs[at] = i
                 del stack[k:]
                 break
     return pairs
 
 
+def _items(t: str) -> set[int]:
+    """Starts of the lines that open a list item."""
+    levels: list[list] = []  # from the outermost: indent, kind of marker, number of its last item, start of its first
+    items: set[int] = set()
+    for m in _MARKER.finditer(t):
+        indent, bullet, dash, bracket, number, mark, letter = m.groups()
+        kind = bullet or dash or (bracket or "") + ("a)" if letter else "1" + mark)
+        at = int(number) if number else ord(letter) if letter else None
+        deep = len(indent.expandtabs(4))
+        while levels and levels[-1][0] > deep:
+            levels.pop()
+        if levels and levels[-1][0] == deep:
+            if levels[-1][1] == kind and (at is None or at == levels[-1][2] + 1):
+                levels[-1][2] = at
+                items |= {levels[-1][3], m.start()}
+                continue
+            levels.pop()
+        levels.append([deep, kind, at, m.start()])
+        if bullet or kind == "1)":
+            items.add(m.start())
+    return items
+
+
 def _starts(t: str, i: int) -> str:
     """What stands at i: '' end, 'u' start of a sentence, 'l' lower case, 'n' digit, 'c' caseless letter, 'p' other."""
     while i < len(t) and (t[i] in "\"'“„«‘‚‹([{¿¡（" or t[i].isspace()):
@@ -184,7 +211,7 @@ def _stop_ends(t: str, start: int, i: int, j: int, after: int) -> bool:
 
 def _ends(t: str) -> Iterator[int]:
     """End offsets of the sentences of one paragraph, the last one left out."""
-    pairs = _paired(t)
+    pairs, items = _paired(t), _items(t)
     start, pos = _NEXT.match(t, 0).end(), 0
     while m := _EVENT.search(t, pos):
         i, j = m.span()
@@ -224,10 +251,12 @@ def _ends(t: str) -> Iterator[int]:
             start = pos = nxt
             continue
         if c.isspace():
-            if t[i:j].strip():  # a list marker opens an item
+            if items and any(p in items for p in range(i + 1, j + 1)):
                 if t[start:i].strip():
                     yield i
-                    start = i
+                start = _NEXT.match(t, i).end()
+                continue
+            if not (i and "฀" <= t[i - 1] <= "๿"):
                 continue
             # Thai: a blank between letters parts sentences, beside a number it does not
             after = _TAIL.match(t, i).end()
@@ -303,12 +332,19 @@ def sentences(docs: DataFrame, id_col: str, text: str, kind: str | None = None)
     start_pos is the end of the sentence before (0 for the first).  Documents without a sentence have no row; a repeated
     row gives its sentences again.
     """
+    what: Column = F.col(kind).cast("string") if kind else F.lit(None).cast("string")
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"), what.alias("kind"))
 
-    @F.pandas_udf("array<int>")
-    def ends(texts: pd.Series, kinds: pd.Series) -> pd.Series:
-        return pd.Series([sentence_ends(t if isinstance(t, str) else None, k) for t, k in zip(texts, kinds)], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = [sentence_ends(t, k) for t, k in zip(batch["text"].to_pylist(), batch["kind"].to_pylist())]
+            n = np.array([len(e) for e in ends], dtype=np.int64)
+            end = np.fromiter((x for e in ends for x in e), dtype=np.int32, count=int(n.sum()))
+            first = np.cumsum(n) - n
+            no = np.arange(len(end)) - np.repeat(first, n)
+            start = np.where(no > 0, np.r_[0, end[:-1]] if len(end) else end, 0)
+            doc = batch["doc_id"].take(pa.array(np.repeat(np.arange(len(n)), n)))
+            yield pa.RecordBatch.from_arrays([doc, pa.array(no.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end)], ["doc_id", "sent_no", "start_pos", "end_pos"])
 
-    what: Column = F.col(kind) if kind else F.lit(None).cast("string")
-    each = docs.select(F.col(id_col).alias("doc_id"), ends(F.col(text), what).alias("e"))
-    each = each.select("doc_id", "e", F.posexplode("e").alias("sent_no", "end_pos"))
-    return each.select("doc_id", "sent_no", F.when(F.col("sent_no") > 0, F.get("e", F.col("sent_no") - 1)).otherwise(0).alias("start_pos"), "end_pos")
+    id_type = given.schema["doc_id"].dataType.simpleString()
+    return given.mapInArrow(run, f"doc_id {id_type}, sent_no int, start_pos int, end_pos int")
