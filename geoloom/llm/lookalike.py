@@ -95,7 +95,7 @@ def look_alikes(spark: SparkSession) -> dict[int, str]:
             plain = [c for c in alike if c.isascii()] or [c for c in (form,) if kind == "Lo" and c.isascii()]
             if len(plain) < 2:
                 to = plain[0] if plain else min(alike)
-                scripts = {unicodedata.name(to).split()[0]}
+                scripts = {unicodedata.name(to, "?").split()[0]}
                 for c in sorted(alike):
                     if c != to and (script := unicodedata.name(c, "?").split()[0]) not in scripts:
                         scripts.add(script)
