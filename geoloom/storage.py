@@ -3,6 +3,9 @@
 Long plans and loops are cut by writing a table into the folder that the cluster shares among its executors and reading
 it again: such a table outlives the loss of any executor.  The folder is the session's ``spark.checkpoint.dir``; only
 where that is unset and the session runs in one process (tests) a folder of our own is chosen.
+
+A written table is deleted by ``release`` as soon as no later step reads it, and at the latest when the application ends:
+its path is marked for deletion with the file system.
 """
 
 from __future__ import annotations
@@ -30,7 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/geoloom/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that goes with the application."""
+    path = f"{shared_dir(spark)}/geoloom/{name}-{uuid.uuid4().hex}"
+    where, files = file_system(spark, path)
+    files.deleteOnExit(where)
+    return path
+
+
+def file_system(spark: SparkSession, path: str):
+    """(path, file system) of the session's own virtual machine."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
@@ -45,10 +58,9 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> tupl
 
 def release(spark: SparkSession, *paths: str) -> None:
     """Delete tables written by ``cut`` that no later step reads."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for p in paths:
-        where = jvm.org.apache.hadoop.fs.Path(p)
-        where.getFileSystem(conf).delete(where, True)
+        where, files = file_system(spark, p)
+        files.delete(where, True)
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
