@@ -4,7 +4,8 @@ Candidates.  Banding: every record gets band keys such that two close records sh
 compared.  With signatures drawn by MinHash from the cells around a record, two records at the very limit share as little
 as a fifteenth of their cells, and a lost link splits a chain; so the bands are the cells themselves (the limit of one row
 a band), which loses nothing.  Verification is exact.  Connected components are found by alternating neighbourhood steps
-over written tables.
+over written tables.  ``minhash_groups`` is the method with signatures, for groups that need not keep every chain whole: it
+also parts loose components around their best-linked members.
 
 Density.  Nothing is made for all pairs of a cell.  Records first collapse into small boxes in which everything is close
 to everything (a diagonal within the radius, a span within the time), so a box is one node however many records it holds.
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,14 +136,20 @@ def close_clusters(records: DataFrame, id_col: str, lat: str, lng: str, ts: str,
     last = F.least(F.floor((F.col("x2") + reach_x + 180.0) / 360.0 * F.col("_n")), first + F.col("_n") - 1)
     b = b.withColumn("_bx", steps(first, last)).withColumn("_bx", F.pmod("_bx", "_n"))
     b = b.withColumn("_bt", steps(F.floor(F.col("t1") / (4 * span)), F.floor((F.col("t2") + seconds) / (4 * span))))
-    b = b.select("_by", "_bx", "_bt", "box", "parts", F.struct("y1", "y2", "x1", "x2", "t1", "t2").alias("all"))
+    b = b.select("_by", "_bx", "_bt", "_n", "box", "parts", F.struct("y1", "y2", "x1", "x2", "t1", "t2").alias("all"))
     p, q = b.alias("p"), b.alias("q")
     keys = [F.col(f"p.{k}") == F.col(f"q.{k}") for k in ("_by", "_bx", "_bt")]
     near, soon = _apart(F.col("p.all"), F.col("q.all"), False)
-    pairs = p.join(q, [*keys, F.col("p.box") < F.col("q.box"), near <= metres, soon <= seconds])
-    pairs = pairs.select(F.col("p.box").alias("a"), F.col("q.box").alias("b"), F.col("p.parts").alias("pa"), F.col("q.parts").alias("pb"))
+    # of the blocks that hold both, the last of the two first ones judges the pair; around the date line and in small rows all do
+    both_first = [F.greatest(*(F.floor((F.col(f"{s}.all.y1") + 90.0) / tall) for s in "pq")) == F.col("p._by"), F.greatest(*(F.floor(F.col(f"{s}.all.t1") / (4 * span)) for s in "pq")) == F.col("p._bt")]
+    fp, fq = (F.floor((F.col(f"{s}.all.x1") + 180.0) / 360.0 * F.col(f"{s}._n")) for s in "pq")
+    both_first.append((F.col("p._n") < 16) | (F.abs(fp - fq) * 2 >= F.col("p._n")) | (F.greatest(fp, fq) == F.col("p._bx")))
+    pairs = p.join(q, [*keys, F.col("p.box") < F.col("q.box"), *both_first, near <= metres, soon <= seconds])
+    far, late = _apart(F.col("p.all"), F.col("q.all"), True)
+    pairs = pairs.select(F.col("p.box").alias("a"), F.col("q.box").alias("b"), F.col("p.parts").alias("pa"), F.col("q.parts").alias("pb"), ((far <= metres) & (late <= seconds)).alias("all"))
     judged = F.flatten(F.transform("pa", lambda x: F.transform("pb", lambda y: F.struct(x["part"].alias("i"), y["part"].alias("j"), _verdict(x, y, metres, seconds).alias("v")))))
-    judged, judged_at = cut(pairs.select("a", "b", F.filter(judged, lambda z: z["v"] > 0).alias("z")).where(F.size("z") > 0).distinct(), "judged")
+    judged = F.when(F.col("all"), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("v")))).otherwise(F.filter(judged, lambda z: z["v"] > 0))
+    judged, judged_at = cut(pairs.select("a", "b", judged.alias("z")).where(F.size("z") > 0).distinct(), "judged")
     sure = F.exists("z", lambda z: z["v"] == 2)
     edges = judged.where(sure).select("a", "b")
     open_ = judged.where(~sure).select("a", "b", F.explode("z").alias("z")).select("a", "b", F.concat_ws("/", "a", "z.i").alias("i"), F.concat_ws("/", "b", "z.j").alias("j"))
@@ -164,6 +173,7 @@ def close_clusters(records: DataFrame, id_col: str, lat: str, lng: str, ts: str,
         edges = edges.unionByName(found)
         open_ = tested.where("v = 1").join(found, ["a", "b"], "left_anti").select("a", "b", "i", "j")
     comp = connected_components(edges, "boxes")
+    release(spark, *paths)
     # the size and least id of every component, then of every box that counts; ids are distinct within a box
     ids = pt.select("id", "box").distinct()
     per_box = ids.groupBy("box").agg(F.count("*").alias("n"), F.min("id").alias("least"))
@@ -187,3 +197,165 @@ def typical_members(clusters: DataFrame, records: DataFrame, id_col: str, lat: s
     off = F.pow(great_circle_m(F.col("lat"), F.col("lng"), F.col("_y"), F.col("_x")) / metres, 2) + F.pow((F.col("ts") - F.col("_t")) / float(seconds), 2)
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.round(off, 9), "id"))
     return m.join(mean, "cluster").withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= top).select("cluster", "size", "rank", "id")
+
+
+# the method with signatures
+
+_REACH = (4, 4, 3)  # rows, columns and spans around a record's own cell that make its set
+
+
+def _cell_rows(y: np.ndarray, x: np.ndarray, t: np.ndarray, side: float, span: int):
+    """The set of a record as rows of cells: row numbers, first columns, columns in the row, first span; a row's columns are
+    those around the record's longitude, so that records of one cell have one set and neighbours' sets overlap."""
+    r0 = np.floor((y + 90.0) / side).astype(np.int64)
+    rows = r0[:, None] + np.arange(-_REACH[0], _REACH[0] + 1)
+    low = np.abs(rows * side - 90.0)
+    top = np.abs((rows + 1) * side - 90.0)
+    around = np.maximum(np.floor(np.cos(np.radians(np.minimum(np.minimum(low, top), 90.0))) * (360.0 / side)), 1).astype(np.int64)
+    first = np.floor((x[:, None] + 180.0) / 360.0 * around).astype(np.int64) - _REACH[1]
+    return rows, first, around, np.floor(t / span).astype(np.int64) - _REACH[2]
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def _signatures(side: float, span: int, bands: int, rows_a_band: int):
+    wide, deep = 2 * _REACH[1] + 1, 2 * _REACH[2] + 1
+    seeds = _mix(np.arange(1, bands * rows_a_band + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                y, x, t = (np.asarray(part[c], dtype=float) for c in ("lat", "lng", "ts"))
+                rows, first, around, t0 = _cell_rows(y, x, t, side, span)
+                with np.errstate(over="ignore"):
+                    column = np.mod(first[:, :, None] + np.arange(wide), around[:, :, None])
+                    cell = _mix(rows[:, :, None].astype(np.uint64) * np.uint64(0x100000001B3) + column.astype(np.uint64))
+                    cell = cell.reshape(len(y), -1)
+                    span_hash = _mix((t0[:, None] + np.arange(deep)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    element = _mix(cell[:, :, None] ^ span_hash[:, None, :]).reshape(len(y), -1)
+                    low = np.stack([_mix(element ^ s).min(1) for s in seeds], 1).reshape(len(y), bands, rows_a_band)
+                    key = low[:, :, 0].copy()
+                    for k in range(1, rows_a_band):
+                        key = _mix(key ^ low[:, :, k])
+                    key = _mix(key ^ np.arange(bands, dtype=np.uint64))
+                node = np.repeat(np.arange(part.num_rows), bands)
+                cols = [pa.array(key.ravel().view(np.int64))] + [part[c].take(pa.array(node)) for c in ("node", "lat", "lng", "ts")]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "node", "lat", "lng", "ts"])
+
+    return run
+
+
+def _jaccard(side: float, span: int):
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sets = []
+            for s in "pq":
+                sets.append(_cell_rows(*(np.asarray(batch[f"{s}_{c}"], dtype=float) for c in ("lat", "lng", "ts")), side, span))
+            (r1, f1, n1, t1), (r2, f2, _, t2) = sets
+            wide, deep = 2 * _REACH[1] + 1, 2 * _REACH[2] + 1
+            shift = r1[:, :1] - r2[:, :1]
+            common = np.zeros(len(r1), dtype=np.int64)
+            for i in range(r1.shape[1]):
+                j = (i + shift[:, 0]).clip(-1, r2.shape[1])
+                ok = (j >= 0) & (j < r2.shape[1])
+                other = np.take_along_axis(f2, np.where(ok, j, 0)[:, None], 1)[:, 0]
+                apart = np.mod(f1[:, i] - other, n1[:, i])
+                apart = np.minimum(apart, n1[:, i] - apart)
+                common += np.where(ok, np.maximum(wide - apart, 0), 0)
+            common = common * np.maximum(deep - np.abs(t1 - t2), 0)
+            size = r1.shape[1] * wide * deep
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(common / (2 * size - common))], ["a", "b", "jaccard"])
+
+    return run
+
+
+def minhash_links(records: DataFrame, id_col: str, lat: str, lng: str, ts: str, metres: float, seconds: int, min_jaccard: float = 0.3, bands: int = 16, rows_a_band: int = 1, salts: int = 16) -> tuple[DataFrame, DataFrame]:
+    """((a, b, jaccard), (node, id)): links between nodes whose sets have at least that Jaccard similarity, and the nodes.
+
+    A node is a cell with records in it, named by its least id; all its records have one set, the cells of side ``metres``
+    and ``seconds`` within four rows, four columns and three spans.  MinHash over the sets gives ``bands`` keys; nodes with a
+    key in common are candidates; the Jaccard similarity of every candidate is computed exactly from both sets.  At the
+    default two records at the very limit share 0.38 of their cells or more, and a link at 0.3 is a candidate with a
+    probability of 0.997.  A key that very many nodes share can only come from one neighbourhood, which has at most as many
+    nodes as cells; pairs are made by an equi-join on the key, never within a list.
+    """
+    pt = records.where(F.col(id_col).isNotNull() & F.col(ts).isNotNull() & has_place(lat, lng))
+    pt = pt.select(F.col(id_col).cast("bigint").alias("id"), F.col(lat).cast("double").alias("lat"), wrap_lng(F.col(lng).cast("double")).alias("lng"), F.col(ts).cast("bigint").alias("ts")).distinct()
+    side, span = math.degrees(metres / EARTH_M), seconds
+    row = F.floor((F.col("lat") + 90.0) / side)
+    around = F.greatest(F.floor(F.cos(F.radians(F.least(F.abs(row * side - 90.0), F.abs((row + 1) * side - 90.0), F.lit(90.0)))) * (360.0 / side)), F.lit(1))
+    cell = [row.alias("_r"), F.floor((F.col("lng") + 180.0) / 360.0 * around).alias("_c"), F.floor(F.col("ts") / span).alias("_t")]
+    cells = pt.select("*", *cell).groupBy("_r", "_c", "_t").agg(F.min("id").alias("node"), F.min_by("lat", "id").alias("lat"), F.min_by("lng", "id").alias("lng"), F.min_by("ts", "id").alias("ts"))
+    cells, at = cut(cells, "cells")
+    members = pt.select("id", *cell).distinct().join(cells.select("_r", "_c", "_t", "node"), ["_r", "_c", "_t"]).select("node", "id")
+    keys = cells.select("node", "lat", "lng", "ts").mapInArrow(_signatures(side, span, bands, rows_a_band), "key bigint, node bigint, lat double, lng double, ts bigint")
+    keys, keys_at = cut(keys, "bands")
+    p = keys.select("key", F.col("node").alias("a"), *(F.col(c).alias(f"p_{c}") for c in ("lat", "lng", "ts")))
+    q = keys.select("key", F.col("node").alias("b"), *(F.col(c).alias(f"q_{c}") for c in ("lat", "lng", "ts")))
+    pairs = p.join(q, "key").where("a < b").drop("key").distinct()
+    links, _ = cut(pairs.mapInArrow(_jaccard(side, span), "a bigint, b bigint, jaccard double").where(F.col("jaccard") >= min_jaccard), "links")
+    release(records.sparkSession, keys_at)
+    return links, members
+
+
+def split_around_medoids(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, medoid): loose components parted so that every node is linked to its group's medoid.
+
+    Nodes are taken by number of links falling, ties by the smaller node; one that is not linked to a medoid becomes one, and
+    every other node joins the linked medoid with the greatest similarity, ties by the smaller medoid.  A node without a link
+    is its own medoid.  A component in which one node is linked to all others stays whole.  Every round decides, all over the
+    table at once, the nodes that come before all their undecided neighbours.
+    """
+    spark = links.sparkSession
+    both = links.where("a <> b").select("a", "b", "jaccard").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard")).distinct()
+    degree = nodes.select("node").distinct().join(both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("d")), "node", "left").select("node", F.coalesce("d", F.lit(0)).alias("d"))
+    before = F.struct(-F.col("d"), F.col("node"))
+    left, left_at = cut(degree.where("d > 0").select("node", "d"), "undecided")
+    both, both_at = cut(both, "both")
+    out = degree.where("d = 0").select("node", F.col("node").alias("medoid"))
+    out, out_at = cut(out, "medoids")
+    medoids = [out]
+    while not left.isEmpty():
+        rank = left.select("node", before.alias("o"))
+        live = both.join(rank.withColumnRenamed("node", "a").withColumnRenamed("o", "oa"), "a").join(rank.withColumnRenamed("node", "b").withColumnRenamed("o", "ob"), "b")
+        beaten = live.where("ob < oa").select(F.col("a").alias("node")).distinct()
+        chosen, at = cut(left.join(beaten, "node", "left_anti").select("node", F.col("node").alias("medoid")), "medoids")
+        medoids.append(chosen)
+        gone = both.join(chosen.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("node")).unionByName(chosen.select("node")).distinct()
+        nxt, nxt_at = cut(left.join(gone, "node", "left_anti"), "undecided")
+        release(spark, left_at)
+        left, left_at = nxt, nxt_at
+    centre = medoids[0]
+    for m in medoids[1:]:
+        centre = centre.unionByName(m)
+    joined = both.join(centre.select(F.col("node").alias("b")), "b", "left_semi").join(centre.select(F.col("node").alias("a")), "a", "left_anti")
+    joined = joined.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(-F.col("jaccard"), F.col("b")))["b"].alias("medoid"))
+    done, _ = cut(centre.unionByName(joined), "parted")
+    release(spark, left_at, both_at)
+    return done
+
+
+def minhash_groups(records: DataFrame, id_col: str, lat: str, lng: str, ts: str, metres: float, seconds: int, min_size: int = 1, min_jaccard: float = 0.3, bands: int = 16) -> DataFrame:
+    """(component, medoid, id, size): groups of records whose neighbourhoods overlap, each named by its medoid.
+
+    MinHash banding gives candidate pairs, exact Jaccard verifies them, connected components form groups, and loose ones are
+    split around their highest-degree members (a component is loose if none of its nodes is linked to all others).  component
+    is the least node of the component before splitting.
+    Groups have at least ``min_size`` ids.  Records without an id, a time or a usable position take no part; repeated rows
+    count once; an empty table gives none.  A pair at the limit may be missed (see ``minhash_links``): use ``close_clusters``
+    where every chain must hold.
+    """
+    links, members = minhash_links(records, id_col, lat, lng, ts, metres, seconds, min_jaccard, bands)
+    parted = split_around_medoids(links, members)
+    whole = connected_components(links.select("a", "b"), "groups")
+    named = parted.join(whole, "node", "left").select("node", "medoid", F.coalesce("component", "node").alias("component"))
+    each = members.join(named, "node").select("component", "medoid", "id").distinct()
+    size = each.groupBy("medoid").agg(F.count("*").alias("size")).where(F.col("size") >= min_size)
+    return each.join(size, "medoid").select("component", "medoid", "id", "size")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm.ngrams import marked, ngram_counts
-from geoloom.llm.clusters import close_clusters, typical_members
+from geoloom.llm.clusters import close_clusters, minhash_groups, typical_members
 from geoloom.llm.encode import encoded, token_count
 from geoloom.llm.lookalike import canonical_forms, visual_words
 from geoloom.llm.neighbours import nearest
@@ -15,15 +15,23 @@ from geoloom.llm.pairs import PairTable, post_words
 from geoloom.llm.sentences import sentences
 from geoloom.llm.top_n import top_n
 from geoloom.sources.tables import table, tokens
-from geoloom.storage import at_most, cut
+from geoloom.storage import at_most, cut, release
 
 
 def _pair_scores(spark: SparkSession, sf_dir: str, min_both: int) -> DataFrame:
-    posts = post_words(table(spark, sf_dir, "tweet").select("tid", "words"))
-    pairs = PairTable(spark)
-    changes = posts.select(F.lit(None).cast("array<string>").alias("before"), F.coalesce(tokens("words"), F.array().cast("array<string>")).alias("after"))
-    pairs.apply(changes)
-    return pairs.scores(min_both)
+    """The table is fed as the posts arrive: those of the first nine tenths of all arrivals, then the rest as a change."""
+    rows = table(spark, sf_dir, "tweet").select("tid", "words", F.col("ingested_at").cast("double").alias("at")).where("tid is not null")
+    line = rows.agg(F.percentile_approx("at", 0.9, 1000)).first()[0]
+    early = F.coalesce(F.col("at") <= line, F.lit(True)) if line is not None else F.lit(True)
+    base = rows.groupBy("tid").agg(F.max(early).alias("had"), F.min(F.when(early, F.col("words"))).alias("old"), F.min("words").alias("new"))
+    base, at = cut(base, "baskets")
+    none, basket = F.lit(None).cast("array<string>"), lambda c: F.coalesce(tokens(c), F.array().cast("array<string>"))
+    pairs = PairTable(spark, min_both=min_both)
+    pairs.apply(base.where("had").select(none.alias("before"), basket("old").alias("after")))
+    later = base.where("not had or not (old <=> new)")
+    pairs.apply(later.select(F.when(F.col("had"), basket("old")).alias("before"), basket("new").alias("after")))
+    release(spark, at)
+    return pairs.scores()
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +60,13 @@ def p3_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("cluster").alias("cluster_tid"), "size", "rank", F.col("id").alias("tid"))
 
 
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(component_tid, medoid_tid, tid, size): groups of at least two posts by MinHash, Jaccard and medoids, see README."""
+    posts = table(spark, sf_dir, "tweet").select("tid", "lat", "lng", "ts")
+    g = minhash_groups(posts, "tid", "lat", "lng", "ts", 80.0, 600, 2)
+    return g.select(F.col("component").alias("component_tid"), F.col("medoid").alias("medoid_tid"), F.col("id").alias("tid"), "size")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tid_a, tid_b): posts of which one is among the 5 most similar to the other, with a cosine of at least 0.95."""
     near = nearest(table(spark, sf_dir, "post_embedding"), "tid", "textual_embedding", 5, dim=48, min_similarity=0.95, margin=0.1, scan=False)  # the graph finds pairs as close as these
@@ -132,7 +147,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"), "doc_id", "text", "doc_kind").select("doc_id", "end_pos")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_scores, p3_found, p3_typical, p4_found, p4_neighbours, p5_found, p6_found, p6_forms, p7_found, p7_counts, p7_ngrams, p8_ids, p9_containers, p9_summary, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_scores, p3_found, p3_typical, p3_groups, p4_found, p4_neighbours, p5_found, p6_found, p6_forms, p7_found, p7_counts, p7_ngrams, p8_ids, p9_containers, p9_summary, p10_found)}
 
 _POSTS = """post AS (SELECT tid, min(words) AS words FROM tweet WHERE tid IS NOT NULL GROUP BY tid),
 word AS (SELECT tid, w, i FROM (SELECT tid, unnest(string_split(words, ' ')) AS w, unnest(range(1, len(string_split(words, ' ')) + 1)) AS i FROM post) WHERE w <> '')"""

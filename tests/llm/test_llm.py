@@ -48,6 +48,32 @@ def test_pairs_follow_changes(spark):
     t.drop()
 
 
+def test_pairs_survive_failures_and_reopening(spark, tmp_path):
+    kind = "before array<string>, after array<string>"
+    at = "file://" + str(tmp_path / "pairs")
+    t = pairs.PairTable(spark, at, buckets=4, min_both=2)
+    t.apply(spark.createDataFrame([(None, ["a", "b", "c"]), (None, ["a", "b"]), (None, ["x"])], kind))
+    bad = spark.createDataFrame([(None, ["a", "z"])], kind).withColumn("after", F.transform("after", lambda x: F.when(x == "z", F.raise_error(F.lit("lost")).cast("string")).otherwise(x)))
+    with pytest.raises(Exception):
+        t.apply(bad)
+    again = pairs.PairTable(spark, at)
+    assert (again.version, again.total, again.buckets, again.min_both) == (1, 3, 4, 2)
+    again.apply(spark.createDataFrame([(["a", "b", "c"], None), (["a", "b"], ["a", "b", "d"]), (None, ["b", "a"])], kind))
+    third = pairs.PairTable(spark, at)
+    assert {(r.a, r.b): r.n for r in third.pairs().collect()} == {("a", "b"): 2, ("a", "d"): 1, ("b", "d"): 1} and third.total == 3
+    assert [tuple(r) for r in third.scores().collect()] == [("a", "b", 2, 2, 2, 1.5)]
+    with pytest.raises(ValueError):
+        third.scores(1)
+    third.vacuum()
+    assert {r.item: r.n for r in pairs.PairTable(spark, at).items().collect()} == {"a": 2, "b": 2, "d": 1, "x": 1}
+
+
+def test_pairs_of_a_long_basket(spark):
+    t = pairs.PairTable(spark)
+    t.apply(spark.createDataFrame([(None, [f"w{i:04}" for i in range(1200)])], "before array<string>, after array<string>"))
+    assert t.pairs().count() == 1200 * 1199 // 2
+
+
 def test_pairs_of_nothing(spark):
     t = pairs.PairTable(spark)
     t.apply(spark.createDataFrame([], "before array<string>, after array<string>"))
@@ -122,6 +148,52 @@ def test_components(spark):
     assert got == {i: c[i] for i in {x for a, b in links if a != b for x in (a, b)}}
 
 
+def test_minhash_groups(spark):
+    rng = random.Random(4)
+    m = math.degrees(1 / 6_373_000)
+    pts = []
+    for i in range(250):
+        y, x = rng.uniform(-900, 900) * m, rng.uniform(-900, 900) * m
+        pts.append((i, 40.0 + y, 180.0 + x / math.cos(math.radians(40)), rng.randint(0, 3000)))
+    pts += [(1000, *pts[0][1:]), pts[1], (None, 1.0, 1.0, 1), (1001, None, 1.0, 1), (1002, 1.0, 1.0, None)]
+    df = spark.createDataFrame(pts, "tid bigint, lat double, lng double, ts bigint").withColumn("node", F.lit("x"))
+    links, members = clusters.minhash_links(df, "tid", "lat", "lng", "ts", 80.0, 600, 0.3, 64)
+    node = {r.id: r.node for r in members.collect()}
+    assert set(node) == {*range(250), 1000} and node[1000] == node[0]
+    place = {t: (y, x - 360 * math.floor((x + 180) / 360), s) for t, y, x, s in pts if t in node}
+    side = math.degrees(80 / 6_373_000)
+
+    def cells(t):
+        y, x, s = place[t]
+        r = math.floor((y + 90) / side)
+        out = set()
+        for k in range(r - 4, r + 5):
+            n = max(1, math.floor(math.cos(math.radians(min(abs(k * side - 90), abs((k + 1) * side - 90)))) * (360 / side)))
+            c = math.floor((x + 180) / 360 * n)
+            out |= {(k, j % n, q) for j in range(c - 4, c + 5) for q in range(s // 600 - 3, s // 600 + 4)}
+        return out
+
+    nodes = sorted(set(node.values()))
+    sets = {n: cells(n) for n in nodes}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(nodes, 2)}
+    want = {k: v for k, v in want.items() if v >= 0.3}
+    got = {(r.a, r.b): r.jaccard for r in links.collect()}
+    assert set(got) <= set(want) and len(got) > 0.99 * len(want) and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    near: dict = {n: {} for n in nodes}
+    for (a, b), j in got.items():
+        near[a][b] = near[b][a] = j
+    medoids: set = set()
+    for n in sorted(nodes, key=lambda n: (-len(near[n]), n)):
+        if not medoids & set(near[n]):
+            medoids.add(n)
+    mine = {n: n if n in medoids else min(medoids & set(near[n]), key=lambda k: (-near[n][k], k)) for n in nodes}
+    out = clusters.minhash_groups(df, "tid", "lat", "lng", "ts", 80.0, 600, 1, 0.3, 64).collect()
+    assert {r.id: r.medoid for r in out} == {t: mine[n] for t, n in node.items()}
+    size = Counter(r.medoid for r in out)
+    assert all(r.size == size[r.medoid] for r in out) and len({r.component for r in out}) <= len(medoids)
+    assert clusters.minhash_groups(df.limit(0), "tid", "lat", "lng", "ts", 80.0, 600).isEmpty()
+
+
 # 4 neighbours
 
 
@@ -211,6 +283,9 @@ def test_shown_forms(spark):
     assert all(got[v] == ("copy", 2) for v in ("сору", "co​py", "𝖼𝗈𝗉𝗒", "copy"))
     assert got["Copy"] == ("Copy", None) and got["cafè"] == ("cafè", None) and got["đem"][1] is None and got["zebra"] == ("zebra", None)
     assert "" not in got and "​" not in got and None not in got
+    wide = lookalike.look_alikes(spark)
+    assert lookalike.shown("Ꭺꓮⲟ", wide) == "AAo" and lookalike.shown("σοφός", wide)[0] == "σ" and 100 < len(wide) < 2000
+    assert lookalike.shown("мyзыкa", wide) == lookalike.shown("музыка", wide) and lookalike.shown("ø", wide) == "ø"
     assert lookalike.shown("мyзыкa") == lookalike.shown("музыка") and lookalike.shown("x" * 100_000 + "​") == "x" * 100_000
     v = spark.createDataFrame([("a b　 c​d",), (None,), ("",)], "t string").select(lookalike.visual_words("t")).collect()
     assert [r[0] for r in v] == [["a", "b", "c​d"], None, []]
@@ -314,6 +389,10 @@ CASES = [
     ["他说：“结束了。”", "昨晚太美了！", "“开放吗？”她问。", "（详情见第9页。）", "等了很久……最后走了。"],
     ["ร้านเปิดตอน 2 โมงเช้า", " คอนเสิร์ตเริ่มกี่โมง", "\nสะพานปิด"],
     ["ዶ/ር Tup ነገ።", " ሙቀቱ 90.43 ነበር።", " መቼ?"],
+    ["Bring these:", "\n- a warm coat", "\n- two shoes", "\n  1. left", "\n  2. right", "\n- a hat.", " And more."],
+    ["Der Rest kommt am\n3. März wieder.", " Er ist alt -", "\n\n- und schwer."],
+    ["Items:", "\n(a) one", "\n(b) two", "\n• x", "\n1) y"],
+    ['He said "' + "it rains. " * 200 + 'Enough." and left.', " Then it stopped."],
     ["A heading", "\n \nText without a mark", "\r\n\r\nLast."],
 ]
 
