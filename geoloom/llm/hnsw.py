@@ -120,7 +120,7 @@ class Graph:
         top = len(self.sizes) - 1
         n = min(self.sizes[top], limit)
         s = q @ self.x[:n].T
-        k = min(starts, n)
+        k = min(starts if top > layer else beam, n)  # nothing walks on from a layer that is the top itself
         best = np.argpartition(-s, k - 1, axis=1)[:, :k]
         # in the form that _walk uses, so that a node has one key wherever it is met
         keys = np.sort(_pack(np.matmul(self.x[best], q[:, :, None])[:, :, 0], best), 1)
@@ -168,10 +168,11 @@ class Graph:
     def search(self, q: np.ndarray, k: int, beam: int | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, similarities) of about the k most similar nodes for each query, best first; -1 where there are fewer.
 
+        The beam is at least twice k; a graph of one layer is compared as a whole.
         own: the query's own node, or -1 if it isn't in the graph; its links are a way into its neighbourhood that the
         walk from the top may miss.
         """
-        width = max(k, beam or self.beam)
+        width = max(2 * k, beam or self.beam)
         nodes, sims = [], []
         for i in range(0, len(q), BATCH):
             part = np.ascontiguousarray(q[i : i + BATCH], dtype=np.float32)

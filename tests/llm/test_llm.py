@@ -208,6 +208,18 @@ def test_graph_recall():
     assert np.allclose(sim[:, 0], 1, atol=1e-5)
 
 
+@pytest.mark.parametrize("n", [1, 2, 30, 500, 1000, 3000])
+def test_graph_gives_as_many_as_asked(n):
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 16)).astype("f4")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    node, _ = Graph(x, 10, 20).search(x[:200], 21)
+    assert ((node >= 0).sum(1) == min(21, n)).all() and all(len(set(r[r >= 0])) == (r >= 0).sum() for r in node)
+    if n <= 1000:
+        best = np.argsort(-(x[:200] @ x.T), 1)[:, :21]
+        assert all(set(a[a >= 0]) == set(b) for a, b in zip(node, best))
+
+
 def test_neighbours_with_copies_and_dirt(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((300, 8)).round(3)
