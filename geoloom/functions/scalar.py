@@ -113,6 +113,16 @@ def unit(a: str | Column) -> Column:
     return F.transform(v, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / F.when(n != 0, n)))
 
 
+def sign(x: Column, eps: float = 1e-8) -> Column:
+    """-1, 0 or 1; 0 within eps of 0."""
+    return F.when(F.abs(x) <= eps, 0).otherwise(F.signum(x)).cast("int")
+
+
+def to_dense(sparse: Column, dim: int) -> Column:
+    """array<double> of a map from place (from 0) to value; places without one are 0."""
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(sparse, i), F.lit(0.0)).cast("double"))
+
+
 def to_distribution(a: str | Column) -> Column:
     """Scaled to sum 1; null for a zero sum."""
     v = F.col(a) if isinstance(a, str) else a

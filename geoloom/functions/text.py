@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def parse_words(text: str | Column, min_length: int = 2, stopwords: list[str] = ()) -> Column:
@@ -67,8 +67,11 @@ def clean_line(text: str | Column) -> Column:
 def phrase_tokens(text: str | Column) -> Column:
     """Letters and apostrophes make tokens; what stands in (nested) brackets is skipped; sentence marks give '$'."""
 
-    @F.udf(T.ArrayType(T.StringType()))
-    def run(line: str | None):
+    @F.pandas_udf("array<string>")
+    def run(lines: pd.Series) -> pd.Series:
+        return lines.map(one)
+
+    def one(line):
         if line is None:
             return None
         out, word, depth = [], [], 0
@@ -97,8 +100,11 @@ def phrase_tokens(text: str | Column) -> Column:
 def bracket_offsets(text: str | Column) -> Column:
     """Array of (begin, end) of bracketed phrases, counted in the text without its brackets."""
 
-    @F.udf("array<struct<begin:int,end:int>>")
-    def run(line: str | None):
+    @F.pandas_udf("array<struct<begin:int,end:int>>")
+    def run(lines: pd.Series) -> pd.Series:
+        return lines.map(one)
+
+    def one(line):
         if line is None:
             return None
         out, at, begin = [], 0, None
@@ -107,7 +113,7 @@ def bracket_offsets(text: str | Column) -> Column:
                 begin = at
             elif c == "]":
                 if begin is not None:
-                    out.append((begin, at))
+                    out.append({"begin": begin, "end": at})
                 begin = None
             else:
                 at += 1

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.operators.ranking import positions
+
 
 def bin_starts(posts: DataFrame, limit: int = 1800) -> DataFrame:
     """(bin_id, start).  The chain of starts is sequential: each depends on the one before.  It is walked by one task over
@@ -58,7 +60,6 @@ def sample_windows(windows: DataFrame, n: int, seed: int) -> DataFrame:
     total = windows.count()
     if not total:
         return windows.withColumn("query_id", F.lit(0)).limit(0)
-    numbered = windows.select(F.struct("start_bin", "bins").alias("w")).agg(F.array_sort(F.collect_list("w")).alias("all"))  # one row per half hour of data
-    spark = windows.sparkSession
-    drawn = spark.range(n).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).cast("int").alias("i"))
-    return drawn.crossJoin(F.broadcast(numbered)).select(F.col("all")[F.col("i")].alias("w")).select("w.start_bin", "w.bins")
+    numbered = positions(windows.select("start_bin", "bins"), [F.col("start_bin").asc()], name="i")
+    drawn = windows.sparkSession.range(n).select((F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)) + 1).alias("i"))
+    return drawn.join(numbered, "i").select("start_bin", "bins")

@@ -10,7 +10,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.functions.scalar import cosine, norm2, unit
+from geoloom.functions.scalar import cosine, unit
 
 
 def members(candidates: DataFrame) -> DataFrame:
@@ -126,5 +126,23 @@ def top_members(m: DataFrame, dim: int, n: int = 10) -> DataFrame:
     return j.withColumn("rank", r.cast("bigint")).where(F.col("rank") <= n).select("candidate_id", "tid", "rank")
 
 
-def zero_norm(vec: str) -> Column:
-    return norm2(vec) == 0
+def rank_all(cands: DataFrame, feats: DataFrame, limit: int = 10, spread: float = 0.02) -> DataFrame:
+    """(query_id, candidate_id, pos): the ranked candidates of all queries in one list by st_unusualness rising, ties by id."""
+    from geoloom.operators.ranking import positions
+
+    best = rank_within_query(cands, feats, limit, spread)
+    score = feats.where(F.col("st_unusualness").isNotNull() & ~F.isnan("st_unusualness")).groupBy("candidate_id").agg(F.min(F.col("st_unusualness") + 0.0).alias("_s"))
+    return positions(best.join(score, "candidate_id").select("query_id", "candidate_id", "_s"), [F.col("_s").asc(), F.col("candidate_id").asc(), F.col("query_id").asc()]).drop("_s")
+
+
+def place_statistics(m: DataFrame, key: str, lambda0: float = 0.5, delta0: float = 0.01) -> DataFrame:
+    """(key, n, mean_y, mean_x, yy, yx, xx): what a Gaussian cluster with a prior at the origin keeps of its points (lat, lng),
+    from plain sums: the same numbers that adding the points one by one gives."""
+    y, x = F.col("lat"), F.col("lng")
+    s = m.groupBy(key).agg(F.count("*").alias("n"), F.sum(y).alias("_y"), F.sum(x).alias("_x"), F.sum(y * y).alias("_yy"), F.sum(y * x).alias("_yx"), F.sum(x * x).alias("_xx"))
+    held = F.col("n") + lambda0
+    s = s.withColumn("mean_y", F.col("_y") / held).withColumn("mean_x", F.col("_x") / held)
+    return s.select(
+        key, "n", "mean_y", "mean_x", (F.col("_yy") + delta0 - held * F.col("mean_y") * F.col("mean_y")).alias("yy"),
+        (F.col("_yx") - held * F.col("mean_y") * F.col("mean_x")).alias("yx"), (F.col("_xx") + delta0 - held * F.col("mean_x") * F.col("mean_x")).alias("xx"),
+    )

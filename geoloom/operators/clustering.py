@@ -7,19 +7,43 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.operators.ranking import positions, strongest_first
 from geoloom.storage import at_most, cut
 
 
 def nearest_centre(points: DataFrame, centres: DataFrame, value: list[str], limit: int = 100_000) -> DataFrame:
-    """Points with the id of their nearest centre by planar distance, ties by id.
+    """Points with the id of their nearest centre by planar distance, ties by id; null where there are no centres.
 
-    Centres go to the tasks as one array while there are at most ``limit`` (checked); more raise.
+    Centres are laid on grids of five widths, each cell with the centres in and around it; a point looks into its own cell
+    of each grid, and a centre found within a cell's width is the nearest one.  Points farther than that from all centres
+    are compared with every centre.  Cells go to the tasks while there are at most ``limit`` centres (checked); more raise.
     """
     if not at_most(centres, limit):
         raise ValueError(f"more than {limit} centres")
-    c = centres.select("id", *value).orderBy("id").toPandas()
-    ids, where = c["id"].to_numpy(), c[value].to_numpy(dtype=float)
+    c = centres.select("id", *value).where(" and ".join(f"{v} is not null and not isnan({v})" for v in value)).distinct()
+    spread = c.agg(F.count("*").alias("n"), *(F.max(v).alias(f"_h{i}") for i, v in enumerate(value)), *(F.min(v).alias(f"_l{i}") for i, v in enumerate(value))).first()
     kind = dict(centres.dtypes)["id"]
+    names = points.columns
+    out = points.select(*names)
+    if not spread["n"]:
+        return out.withColumn("id", F.lit(None).cast(kind))
+    wide = max(1e-9, *((spread[f"_h{i}"] - spread[f"_l{i}"]) / spread["n"] ** (1 / len(value)) for i in range(len(value))))
+    found = []
+    for level in range(5):
+        side = wide * 8.0 ** (level - 3)
+        near = c
+        for i, v in enumerate(value):
+            near = near.withColumn(f"_k{i}", F.explode(F.sequence(F.floor(F.col(v) / side) - 1, F.floor(F.col(v) / side) + 1)))
+        keys = [f"_k{i}" for i in range(len(value))]
+        cells = near.groupBy(*keys).agg(F.collect_list(F.struct("id", *value)).alias(f"_near{level}"))
+        for i, v in enumerate(value):
+            out = out.withColumn(f"_k{i}", F.floor(F.col(v) / side))
+        out = out.join(F.broadcast(cells), keys, "left").drop(*keys)
+        off = F.array_min(F.transform(f"_near{level}", lambda s: F.struct(sum((F.col(v) - s[v]) * (F.col(v) - s[v]) for v in value).alias("d"), s["id"].alias("id"))))
+        found.append(F.when(off["d"] <= side * side, off["id"]))
+    out = out.select(*names, F.coalesce(*found).alias("id"))
+    rest = c.orderBy("id").toPandas()  # at most ``limit`` rows
+    ids, where = rest["id"].to_numpy(), rest[value].to_numpy(dtype=float)
 
     def run(batches):
         for pdf in batches:
@@ -30,9 +54,10 @@ def nearest_centre(points: DataFrame, centres: DataFrame, value: list[str], limi
                 for j in range(len(value)):
                     d += (x[i : i + 512, j, None] - where[None, :, j]) ** 2
                 best[i : i + 512] = d.argmin(1)
-            yield pdf.assign(id=ids[best] if len(ids) else None)
+            yield pdf.assign(id=ids[best])
 
-    return points.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema) + f", id {kind}")
+    far = out.where("id is null").select(*names).mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema) + f", id {kind}")
+    return out.where("id is not null").unionByName(far)
 
 
 TILE, HALO = 32, 4  # bandwidths
@@ -108,21 +133,19 @@ def mean_shift(points: DataFrame, value: list[str], bandwidth: float, rounds: in
             break
         if left[1] >= rounds:
             raise RuntimeError(f"mean shift: seeds still move after {rounds} shifts")
-    seeds = done
-    # equal ends merge in the cluster first; the greedy choice is made per connected stretch of cells, strongest first
-    ends = seeds.groupBy(*(F.round(F.col(c), 9).alias(c) for c in value)).agg(F.max("n").alias("n"))
-
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", *value], ascending=[False] + [True] * len(value), ignore_index=True)
-        x, kept = pdf[value].to_numpy(dtype=float), []
-        for i in range(len(x)):
-            if not kept or (((x[kept] - x[i]) ** 2).sum(1) > bandwidth**2).all():
-                kept.append(i)
-        out = pdf.loc[kept].reset_index(drop=True)
-        return out.assign(id=range(len(out)))[["id", *value, "n"]]
-
-    # ends are isolated modes: at most one for each occupied cell of the bandwidth, whatever the number of points
-    return ends.withColumn("_k", F.lit(1)).groupBy("_k").applyInPandas(thin, "id bigint, " + ", ".join(f"{c} double" for c in value) + ", n bigint")
+    # equal ends merge first; then the greedy choice, strongest first, over pairs of ends that cells of the bandwidth bring together
+    ends = done.groupBy(*(F.round(F.col(c), 9).alias(c) for c in value)).agg(F.max("n").alias("n"))
+    ends, _ = cut(ends.withColumn("node", F.struct(*value)), "ends")
+    own, around = ends, ends
+    for i, c in enumerate(value):
+        own = own.withColumn(f"_k{i}", F.floor(F.col(c) / bandwidth))
+        around = around.withColumn(f"_k{i}", F.explode(F.sequence(F.floor(F.col(c) / bandwidth) - 1, F.floor(F.col(c) / bandwidth) + 1)))
+    a, b = own.select(F.col("node").alias("a"), *(f"_k{i}" for i in dims)), around.select(F.col("node").alias("b"), *(f"_k{i}" for i in dims))
+    apart = sum((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in value)
+    links = a.join(b, [f"_k{i}" for i in dims]).where((apart <= bandwidth * bandwidth) & (F.col("a") < F.col("b"))).select("a", "b")
+    kept = strongest_first(ends.select("node", F.struct((-F.col("n")).alias("n"), *value).alias("rank")), links)
+    out = ends.join(kept, "node", "left_semi").select(*value, "n")
+    return positions(out, [F.desc("n"), *(F.col(c).asc() for c in value)], name="id").select((F.col("id") - 1).alias("id"), *value, "n")
 
 
 def spherical_kmeans(vectors: DataFrame, vec: str, k: int, seed: int = 0, rounds: int = 10) -> DataFrame:

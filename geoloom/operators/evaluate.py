@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.storage import at_most
+
 
 def mid_rank(scores: DataFrame, case: str, score: str, is_truth: str) -> DataFrame:
     """(case, rank): the truth's rank among all scores of its case, 1 best, the middle one of equals."""
@@ -57,3 +59,89 @@ def event_classifier(df: DataFrame, features: list[str], label: str, key: str, k
         use.pop(int(abs(weight).argmin()))
     out = model.transform(test)
     return out.select(key, label, F.col("prediction").cast("int").alias("predicted"), vector_to_array("probability")[1].alias("probability"))
+
+
+def repeated_classifier(df: DataFrame, features: list[str], label: str, key: str, repeats: int = 100, keep: int = 5, rounds: int = 30, ridge: float = 1.0, most: int = 50_000, seed: int = 0) -> DataFrame:
+    """(repeat, precision, recall, f1) of class 1, one row a repeat; ``mean_metrics`` averages them.
+
+    A repeat draws as many rows of class 0 as there are of class 1, halves them by a seeded hash, scales by the training
+    half, drops the feature with the smallest weight until ``keep`` are left, and fits a logistic regression (Newton steps
+    with a ridge) on what is left.  Rows with a null or no number in a feature or the label take no part.  The labelled
+    rows, a given set of at most ``most`` (checked), go to every task; repeats are spread over the cluster.
+    """
+    import numpy as np
+    import pandas as pd
+
+    rows = df.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("_y"), *(F.col(c).cast("double").alias(c) for c in features)).dropna()
+    for c in features:
+        rows = rows.where(~F.isnan(c))
+    rows = rows.distinct()
+    if not at_most(rows, most):
+        raise ValueError(f"more than {most} labelled rows; give a sample of them")
+    given = rows.orderBy(key).toPandas()  # at most ``most`` rows
+    x, y = given[features].to_numpy(dtype=float), given["_y"].to_numpy()
+
+    def logistic(a: np.ndarray, t: np.ndarray) -> np.ndarray:
+        a = np.c_[a, np.ones(len(a))]
+        w = np.zeros(a.shape[1])
+        penalty = np.diag([ridge] * (a.shape[1] - 1) + [1e-9])
+        for _ in range(rounds):
+            q = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            step = np.linalg.solve((a * (q * (1 - q))[:, None]).T @ a + penalty, a.T @ (t - q) - penalty @ w)
+            w += step
+            if np.abs(step).max() < 1e-10:
+                break
+        return w
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf["id"]:
+                rng = np.random.default_rng(seed * 1_000_003 + int(r))
+                one, zero = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+                some = np.r_[one, rng.permutation(zero)[: len(one)]]
+                some = rng.permutation(some)
+                train, test = some[: len(some) // 2], some[len(some) // 2 :]
+                use = list(range(len(features)))
+                if len(train) and len(test):
+                    mean, sd = x[train].mean(0), x[train].std(0)
+                    z = (x - mean) / np.where(sd > 0, sd, 1)
+                    while len(use) > keep:
+                        use.pop(int(np.abs(logistic(z[train][:, use], y[train])[:-1]).argmin()))
+                    w = logistic(z[train][:, use], y[train])
+                    said = np.c_[z[test][:, use], np.ones(len(test))] @ w > 0
+                    tp, fp, fn = (int((said & (y[test] == 1)).sum()), int((said & (y[test] == 0)).sum()), int((~said & (y[test] == 1)).sum()))
+                    out.append((int(r), tp / (tp + fp) if tp + fp else None, tp / (tp + fn) if tp + fn else None, 2 * tp / (2 * tp + fp + fn) if tp + fp + fn else None))
+                else:
+                    out.append((int(r), None, None, None))
+            yield pd.DataFrame(out, columns=["repeat", "precision", "recall", "f1"]).astype({"precision": "float64", "recall": "float64", "f1": "float64"})
+
+    schema = "repeat bigint, precision double, recall double, f1 double"
+    return df.sparkSession.range(repeats).repartition(min(repeats, 100)).mapInPandas(run, schema).replace(float("nan"), None)
+
+
+def mean_metrics(repeats: DataFrame, method: str) -> DataFrame:
+    """(method, precision, recall, f1): the means over all repeats that have a value."""
+    return repeats.agg(*(F.avg(c).alias(c) for c in ("precision", "recall", "f1"))).select(F.lit(method).alias("method"), "precision", "recall", "f1")
+
+
+def forest_importance(df: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 10, seed: int = 0) -> DataFrame:
+    """(feature, importance, rank) of a random forest classifier on the complete labelled rows."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = df.where(F.col(label).isNotNull()).dropna(subset=features).withColumn("_label", F.col(label).cast("double"))
+    v = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="skip").transform(rows)
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, featuresCol="_v", labelCol="_label", seed=seed).fit(v)
+    named = sorted(zip(features, model.featureImportances.toArray().tolist()), key=lambda f: (-f[1], f[0]))
+    return df.sparkSession.createDataFrame([(f, i, r + 1) for r, (f, i) in enumerate(named)], "feature string, importance double, rank bigint")
+
+
+def agreement_counts(answers: DataFrame, section: str, truth: str, said: str, semantic: int = 5) -> DataFrame:
+    """(section, asked, answered, right) and below them the totals 'semantic' (the first sections), 'syntactic' and 'all';
+    an unanswered question has a null in ``said``."""
+    ok = [F.count("*").alias("asked"), F.count(said).alias("answered"), F.coalesce(F.sum((F.col(said) == F.col(truth)).cast("bigint")), F.lit(0).cast("bigint")).alias("right")]
+    rows = answers.select(F.col(section).alias("section"), said, truth)
+    out = rows.groupBy(F.col("section").cast("string").alias("section")).agg(*ok)
+    part = F.when(F.col("section") <= semantic, "semantic").otherwise("syntactic")
+    return out.unionByName(rows.groupBy(part.alias("section")).agg(*ok)).unionByName(rows.agg(*ok).select(F.lit("all").alias("section"), "asked", "answered", "right"))

@@ -8,24 +8,27 @@ from pyspark.sql import functions as F
 from geoloom.functions.scalar import kernel
 
 
-def cooccurrence_edges(nodes: DataFrame) -> DataFrame:
+def cooccurrence_edges(nodes: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """(etype, u, v, weight) from one row per post (tid, l, t, c, words).
 
     Both directions of every pair of l, t and c (+1 a post), of each of them with every word occurrence, and of every two
-    positions with different words.  Null l, t or c have no edges.  Pairs are made inside a post; counts merge before the shuffle.
+    positions with different words.  Null l, t or c have no edges.  Pairs are made inside a post, one at a time from counts of
+    its different words, so no list of a post's pairs is held; counts merge before the shuffle.  ``kinds``: only these edge
+    types, two letters each, are made.
     """
-    one = F.array(*(F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("x")) for k in "ltc"))
-    one = F.filter(one, lambda s: s["x"].isNotNull())
+    all_kinds = [a + b for a in "ltcw" for b in "ltcw" if a != b or a == "w"]
+    kinds = all_kinds if kinds is None else [k for k in all_kinds if k in kinds]
+    sides = [F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("x"), F.lit(1).cast("bigint").alias("n")) for k in "ltc"]
+    sides = F.filter(F.array(*sides), lambda s: s["x"].isNotNull())
     words = F.coalesce("words", F.array().cast("array<string>"))
-    word = F.transform(words, lambda w: F.struct(F.lit("w").alias("k"), w.alias("x")))
-
-    def cross(a, b, cond):
-        return F.flatten(F.transform(a, lambda p: F.transform(F.filter(b, lambda q: cond(p, q)), lambda q: F.struct(F.concat(p["k"], q["k"]).alias("etype"), p["x"].alias("u"), q["x"].alias("v")))))
-
-    kinds = cross(one, one, lambda p, q: p["k"] != q["k"])
-    lw, wl = cross(one, word, lambda p, q: F.lit(True)), cross(word, one, lambda p, q: F.lit(True))
-    ww = cross(word, word, lambda p, q: p["x"] != q["x"])
-    return nodes.select(F.explode(F.concat(kinds, lw, wl, ww)).alias("e")).groupBy("e.etype", "e.u", "e.v").agg(F.count("*").alias("weight"))
+    sorted_words = F.array_sort(words)
+    # a word's number of positions: the array is short, and a post's rows stay where they are
+    held = F.transform(F.array_distinct(sorted_words), lambda w: F.struct(F.lit("w").alias("k"), w.alias("x"), F.size(F.filter(sorted_words, lambda v: v == w)).cast("bigint").alias("n")))
+    ends = nodes.select(F.concat(sides, held).alias("ends")).where(F.size("ends") > 1)
+    pairs = ends.select("ends", F.explode("ends").alias("p")).select("p", F.explode("ends").alias("q"))
+    etype = F.concat("p.k", "q.k")
+    pairs = pairs.where(etype.isin(kinds) & ((F.col("p.k") != F.col("q.k")) | (F.col("p.x") != F.col("q.x"))))
+    return pairs.groupBy(etype.alias("etype"), F.col("p.x").alias("u"), F.col("q.x").alias("v")).agg(F.sum(F.col("p.n") * F.col("q.n")).alias("weight"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

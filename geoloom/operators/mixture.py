@@ -17,6 +17,7 @@ uses nu0 + n + 4 and the density adds the cross term.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import cache
@@ -295,8 +296,10 @@ def _zscored(pdf: pd.DataFrame) -> np.ndarray:
     return (d - d.mean(0)) / np.where(sd > 0, sd, 1)
 
 
-def _seed(key, seed: int) -> int:
-    return (int(key) * 1_000_003 + seed) % (1 << 62)
+def seed_of(key, seed: int) -> int:
+    """The same number for a window's name in every process."""
+    number = int(key) if isinstance(key, (int, np.integer)) else zlib.crc32(str(key).encode())
+    return (number * 1_000_003 + seed) % (1 << 62)
 
 
 def cluster_windows(df: DataFrame, window: str, clusters: int = 200, sweeps: int = 50, seed: int = 0, scores: bool = False, split_rows: int = 4000, params: Params | None = None) -> DataFrame:
@@ -313,7 +316,7 @@ def cluster_windows(df: DataFrame, window: str, clusters: int = 200, sweeps: int
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("tid", ignore_index=True)
         x, d = _unit(pdf["vec"]), _zscored(pdf)
-        m = Mixture(p, x.shape[1], _seed(pdf[window].iloc[0], seed))
+        m = Mixture(p, x.shape[1], seed_of(pdf[window].iloc[0], seed))
         m.first_fit(x, d)
         s = m.scores(x, d)
         out = pd.DataFrame({window: pdf[window], "tid": pdf["tid"], "cluster_id": hard(s).astype("int32")})
@@ -353,11 +356,11 @@ def _shared_sweeps(rows: DataFrame, window: str, kind: str, p: Params, seed: int
     kappa: dict = {}
 
     def state(stats: pd.DataFrame, key, turn: int, shard: int, last: dict) -> Mixture:
-        m = Mixture(p, dim, _seed(key, seed) + 7919 * turn + shard)
+        m = Mixture(p, dim, seed_of(key, seed) + 7919 * turn + shard + 1)
         if key in last:
             m.kappa = last[key].copy()
         else:
-            m.kappa = np.clip(np.exp(0.01 * np.random.default_rng(_seed(key, seed)).standard_normal(p.clusters) + math.log(100)), p.kappa_low, p.kappa_high)
+            m.kappa = np.clip(np.exp(0.01 * np.random.default_rng(seed_of(key, seed)).standard_normal(p.clusters) + math.log(100)), p.kappa_low, p.kappa_high)
         k, s = stats["z"].to_numpy(), np.array(stats["s"].tolist(), dtype=float).reshape(-1, dim + 5)
         m.count[k] = stats["n"]
         m.s[k] += s[:, :dim]
@@ -370,11 +373,9 @@ def _shared_sweeps(rows: DataFrame, window: str, kind: str, p: Params, seed: int
         return m
 
     stats = _statistics(now, window, dim).toPandas()  # bounded: clusters rows for each window that is too large for a task
-    for turn in range(p.sweeps):
-        by = {key: g for key, g in stats.groupby(window)}
-        before = dict(kappa)
 
-        def step(pdf: pd.DataFrame, by=by, before=before, turn=turn) -> pd.DataFrame:
+    def sweep_of(by: dict, before: dict, turn: int):
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("tid", ignore_index=True)
             key = pdf[window].iloc[0]
             m = state(by[key], key, turn, int(pdf["shard"].iloc[0]), before)
@@ -382,6 +383,11 @@ def _shared_sweeps(rows: DataFrame, window: str, kind: str, p: Params, seed: int
             m.sweep(np.array(pdf["x"].tolist()), np.array(pdf["d"].tolist()), c)
             return pdf.assign(z=c.astype("int32"))
 
+        return step
+
+    for turn in range(p.sweeps):
+        before = dict(kappa)
+        step = sweep_of({key: g for key, g in stats.groupby(window)}, before, turn)
         nxt, nxt_at = cut(now.groupBy(window, "shard").applyInPandas(step, now.schema), "sweep")
         release(spark, at)
         now, at = nxt, nxt_at
@@ -441,7 +447,7 @@ def slide_windows(df: DataFrame, stream: str, width: int = 6, params: Params = P
             rows = pd.concat(held, ignore_index=True)
             x = _unit(rows["vec"])
             if window is None:
-                window = Sliding(params, x.shape[1], width, _seed(at[0], seed))
+                window = Sliding(params, x.shape[1], width, seed_of(at[0], seed))
             got = window.step(int(at[1]), rows["tid"].to_numpy(), x, rows[["lat", "lng"]].to_numpy(dtype=float))
             return None if got is None else got.assign(**{stream: at[0]})[[stream, "bin_id", "tid", "cluster_id"]]
 
@@ -468,7 +474,7 @@ def batch_mixture(df: DataFrame, group: str, params: Params = PRESETS["batch"],
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = _unit(pdf.sort_values("tid")["vec"])
-        d, m = np.zeros((len(x), 2)), Mixture(replace(params, places=False), x.shape[1], _seed(pdf[group].iloc[0], seed))
+        d, m = np.zeros((len(x), 2)), Mixture(replace(params, places=False), x.shape[1], seed_of(pdf[group].iloc[0], seed))
         z = m.rng.integers(0, params.clusters, len(x))
         for i in range(len(x)):
             m.put(x[i], d[i], z[i])

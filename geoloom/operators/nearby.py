@@ -4,8 +4,9 @@
 longitude cells at least as wide as the radius; a place is copied into the few cells its circle touches, a point stays
 in its own cell, and one equi-join finds every pair, over the date line and at the poles too.
 
-``within_regions``: crossing parity in SQL.  Ring edges are cut into latitude strips, points join the edges of their
-strip, and the crossings of the eastward ray are grouped by point and region.
+``within_regions``: crossing parity in SQL.  Ring edges are cut into latitude strips and filed under the longitude cells that
+their region reaches, points join the edges of their strip and cell, and the crossings of the eastward ray are grouped by
+point and region.
 
 Both take any number of extra columns (ignored) and drop points and places without a usable position.  Empty inputs give
 empty results.  The join is broadcast only while the place side is at most ``broadcast_rows`` rows (counted first);
@@ -126,6 +127,9 @@ def ring_edges(regions: DataFrame, region_id: str = "region_id", rings: str = "r
     )
 
 
+_AROUND = (7200, 900, 100, 10, 1)  # longitude cells around the globe, from fine to coarse
+
+
 def within_regions(
     points: DataFrame, regions: DataFrame, *, id_col: str = "id", lat: str = "lat", lng: str = "lng",
     region_id: str = "region_id", rings: str = "rings", strip: float = 0.005, broadcast_rows: int = 200_000, salts: int = 32,
@@ -137,9 +141,16 @@ def within_regions(
     """
     edge = ring_edges(regions, region_id, rings)
     edge = edge.withColumn("_s", F.explode(F.sequence(F.floor(F.least("lat1", "lat2") / strip), F.floor(F.greatest("lat1", "lat2") / strip))))
+    # a region is filed under the longitude cells it reaches, in the finest grid of which it fills no more than five
+    fits = [F.when(F.col("east") - F.col("west") <= 4 * 360.0 / n, n) for n in _AROUND[:-1]]
+    edge = edge.withColumn("_n", F.coalesce(*fits, F.lit(_AROUND[-1])))
+    first, last = (F.floor((F.col(c) + s * 1e-9 + 180.0) / 360.0 * F.col("_n")) for c, s in (("west", -1), ("east", 1)))
+    edge = edge.withColumn("_c", F.explode(F.sequence(first, F.least(last, first + F.col("_n") - 1)))).withColumn("_c", F.pmod("_c", "_n"))
     small = at_most(edge, broadcast_rows)
+    grids = [r[0] for r in edge.select("_n").distinct().collect()] or [1]  # as many as there are grids, at most
     pt = distinct_points(points, id_col, lat, lng).withColumn("_s", F.floor(F.col("lat") / strip))
-    hit = _joined(pt, edge, ["_s"], small, salts)
+    pt = pt.withColumn("_n", F.explode(F.array(*(F.lit(n) for n in grids)))).withColumn("_c", F.pmod(F.floor((F.col("lng") + 180.0) / 360.0 * F.col("_n")), F.col("_n")))
+    hit = _joined(pt, edge, ["_s", "_n", "_c"], small, salts)
     x = F.when(F.col("lng").between(F.col("west"), F.col("east")), F.col("lng")).otherwise(F.col("west") + F.pmod(F.col("lng") - F.col("west"), F.lit(360.0)))
     hit = hit.withColumn("_x", x).where(F.col("_x") <= F.col("east"))
     spans = (F.least("lat1", "lat2") <= F.col("lat")) & (F.col("lat") < F.greatest("lat1", "lat2"))

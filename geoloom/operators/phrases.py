@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.storage import cut
+from geoloom.operators.ranking import positions
+from geoloom.storage import at_most, cut
 
 
 def frequent_ngrams(records: DataFrame, tokens: str, max_n: int, threshold: int) -> DataFrame:
@@ -61,11 +62,20 @@ def stopword_features(phrases: DataFrame, stop: DataFrame, idf: DataFrame) -> Da
     )
 
 
-def bigram_scores(tok: DataFrame, min_count: int) -> DataFrame:
-    """(a, b, cnt_a, cnt_b, cnt_ab, score) from (tid, pos, word): (ab - min) / a / b * N; pairs don't cross records."""
-    uni = tok.groupBy("word").agg(F.count("*").alias("n"))
-    nxt = tok.withColumn("b", F.lead("word").over(Window.partitionBy("tid").orderBy("pos"))).where("b is not null")
-    bi = nxt.groupBy(F.col("word").alias("a"), "b").agg(F.count("*").alias("cnt_ab"))
+def _neighbours(words: str) -> Column:
+    """Neighbouring words of an array as (a, b)."""
+    w = F.col(words)
+    return F.arrays_zip(F.slice(w, 1, F.size(w) - 1).alias("a"), F.slice(w, 2, F.size(w) - 1).alias("b"))
+
+
+def bigram_scores(records: DataFrame, words: str, min_count: int) -> DataFrame:
+    """(a, b, cnt_a, cnt_b, cnt_ab, score) from arrays of words: (ab - min) / a / b * N; pairs don't cross records.
+
+    A record's pairs are made where the record lies; only counts are shuffled.
+    """
+    uni = records.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    nxt = records.where(F.size(words) > 1).select(F.explode(_neighbours(words)).alias("p"))
+    bi = nxt.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("cnt_ab"))
     total = uni.agg(F.sum("n").alias("_N"))
     j = bi.join(uni.select(F.col("word").alias("a"), F.col("n").alias("cnt_a")), "a").join(uni.select(F.col("word").alias("b"), F.col("n").alias("cnt_b")), "b")
     j = j.where((F.col("cnt_a") >= min_count) & (F.col("cnt_b") >= min_count)).crossJoin(F.broadcast(total))
@@ -73,14 +83,17 @@ def bigram_scores(tok: DataFrame, min_count: int) -> DataFrame:
     return j.select("a", "b", "cnt_a", "cnt_b", "cnt_ab", score.alias("score"))
 
 
-def join_bigrams(records: DataFrame, words: str, scores: DataFrame, threshold: float, id_col: str = "tid") -> DataFrame:
+def join_bigrams(records: DataFrame, words: str, scores: DataFrame, threshold: float, id_col: str = "tid", broadcast_rows: int = 200_000) -> DataFrame:
     """(id, words): neighbouring words whose score passes the threshold joined by '_'; a joined word can't start the next pair.
 
-    The pairs above the threshold are joined to each position; the left-to-right choice is a fold over the flags.
+    The pairs above the threshold are joined to each position (broadcast while they are at most ``broadcast_rows``, counted);
+    the left-to-right choice is a fold over the flags.
     """
     hot = scores.where(F.col("score") > threshold).select("a", "b", F.lit(True).alias("hot"))
-    tok = records.select(F.col(id_col).alias("id"), F.posexplode(words).alias("pos", "a"))
-    tok = tok.withColumn("b", F.lead("a").over(Window.partitionBy("id").orderBy("pos"))).join(hot, ["a", "b"], "left")
+    w = F.col(words)
+    tok = records.select(F.col(id_col).alias("id"), F.posexplode(F.arrays_zip(w.alias("a"), F.slice(w, 2, F.size(w)).alias("b"))).alias("pos", "p"))
+    tok = tok.select("id", "pos", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+    tok = tok.join(F.broadcast(hot) if at_most(hot, broadcast_rows) else hot, ["a", "b"], "left")
     rows = tok.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "a", F.coalesce("hot", F.lit(False)).alias("hot")))).alias("r"))
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("glue"))
 
@@ -107,10 +120,15 @@ def combine_phrases(ranked: DataFrame) -> DataFrame:
 def prune_by_window(ranked: DataFrame, half: int, threshold: float, most: int) -> DataFrame:
     """Per length, rows (phrase, n, score, quality) in score order up to the first position whose mean quality over +-half
     falls below the threshold, and no more than ``most``."""
-    order = Window.partitionBy("n").orderBy(F.desc("score"), F.desc("phrase"))
-    r = ranked.withColumn("pos", F.row_number().over(order)).withColumn("_m", F.avg("quality").over(order.rowsBetween(-half, half)))
-    cut = r.where(F.col("_m") < threshold).groupBy("n").agg(F.min("pos").alias("_cut"))
-    return r.join(F.broadcast(cut), "n", "left").where((F.col("_cut").isNull() | (F.col("pos") < F.col("_cut"))) & (F.col("pos") <= most)).select("phrase", "n", "score", "quality", F.col("pos").cast("bigint").alias("pos"))
+    r, _ = cut(positions(ranked, [F.desc("score"), F.desc("phrase")], by="n"), "positions")
+    # the mean over neighbours in a list that no task holds: blocks of positions, each with the rows around it
+    size = max(10_000, 4 * half)
+    block = F.floor(F.col("pos") / size)
+    edges = F.array_distinct(F.array(block, F.floor((F.col("pos") - half) / size), F.floor((F.col("pos") + half) / size)))
+    around = Window.partitionBy("n", "_block").orderBy("pos").rowsBetween(-half, half)
+    mean = r.select("n", "pos", "quality", F.explode(edges).alias("_block")).withColumn("_m", F.avg("quality").over(around)).where(F.col("_block") == block)
+    low = mean.where(F.col("_m") < threshold).groupBy("n").agg(F.min("pos").alias("_cut"))
+    return r.join(F.broadcast(low), "n", "left").where((F.col("_cut").isNull() | (F.col("pos") < F.col("_cut"))) & (F.col("pos") <= most)).select("phrase", "n", "score", "quality", F.col("pos").cast("bigint").alias("pos"))
 
 
 def length_normalised(phrases: DataFrame) -> DataFrame:

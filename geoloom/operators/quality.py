@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.operators.phrases import segment
+from geoloom.operators.ranking import first_rows, positions
 from geoloom.storage import at_most, cut, release
 
 
@@ -28,16 +29,18 @@ def auto_labels(feats: DataFrame, names: list[str], known: DataFrame, k: int, se
     return out
 
 
-def forest_scores(feats: DataFrame, names: list[str], labels: DataFrame, trees: int = 100, depth: int = 18, seed: int = 0) -> tuple[DataFrame, list[float]]:
-    """((phrase, score), importances): mean leaf value of regression trees fitted on the labelled phrases, balanced by
-    weight."""
+def forest_scores(feats: DataFrame, names: list[str], labels: DataFrame, trees: int = 100, depth: int = 18, seed: int = 0, most: int = 100_000) -> tuple[DataFrame, list[float]]:
+    """((phrase, score), importances): mean leaf value of regression trees fitted on the labelled phrases (at most ``most``,
+    checked), balanced by weight."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     v = VectorAssembler(inputCols=names, outputCol="_v", handleInvalid="skip").transform(feats)
+    if not at_most(labels, most):
+        raise ValueError(f"more than {most} labels; fit on a sample of them")
     lab = labels.select("phrase", F.col("label").cast("double").alias("_y"))
     n = lab.groupBy("_y").agg(F.count("*").alias("_n"))
-    train = v.join(F.broadcast(lab.join(n, "_y").withColumn("_w", 1 / F.col("_n"))), "phrase")  # labels are a given small set
+    train = v.join(F.broadcast(lab.join(n, "_y").withColumn("_w", 1 / F.col("_n"))), "phrase")
     model = RandomForestRegressor(numTrees=trees, maxDepth=depth, featuresCol="_v", labelCol="_y", weightCol="_w", seed=seed, featureSubsetStrategy="onethird").fit(train)
     return model.transform(v).select("phrase", F.col("prediction").alias("score")), list(model.featureImportances.toArray())
 
@@ -64,10 +67,12 @@ def reestimate(records: DataFrame, tokens: str, phrases: DataFrame, rounds: int
     return now
 
 
-def find_penalty(records: DataFrame, tokens: str, phrases: DataFrame, good: DataFrame, broken_share: float = 0.05, steps: int = 6) -> float:
+def find_penalty(records: DataFrame, tokens: str, phrases: DataFrame, good: DataFrame, broken_share: float = 0.05, steps: int = 6, most: int = 500_000) -> float:
     """The largest penalty, by bisection of its logarithm between 1e-6 and 200, at which at most ``broken_share`` of the good
-    phrases come apart when segmented alone."""
+    phrases come apart when segmented alone.  The dictionary goes to the tasks while it has at most ``most`` entries (checked)."""
     lo, hi = math.log(1e-6), math.log(200.0)
+    if not at_most(phrases, most):
+        raise ValueError(f"more than {most} phrases; raise the support threshold")
     d = phrases.toPandas()
     total = d.groupby("n")["cnt"].transform("sum")
     costs = {p: math.log(c / t) for p, c, t in zip(d["phrase"], d["cnt"], total)}
@@ -108,10 +113,10 @@ def zscore(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def top_half(counts: DataFrame, key: str) -> DataFrame:
     """The first half of the rows by count falling, ties by key."""
-    n = counts.count()
-    return counts.orderBy(F.desc("cnt"), key).limit(n // 2)
+    return first_rows(counts, [F.desc("cnt"), F.col(key).asc()], 0.5)
 
 
 def ranked(scores: DataFrame) -> DataFrame:
     """Adds pos: order by (score, phrase) falling inside each length."""
-    return scores.withColumn("n", F.size(F.split("phrase", " ")).cast("bigint")).withColumn("pos", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score"), F.desc("phrase"))))
+    sized = scores.withColumn("n", F.size(F.split("phrase", " ")).cast("bigint"))
+    return positions(sized, [F.desc("score"), F.desc("phrase")], by="n")

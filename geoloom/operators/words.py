@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.operators.ranking import first_rows, positions
+
 
 def word_counts(tok: DataFrame) -> DataFrame:
     return tok.groupBy("word").agg(F.count("*").alias("cnt"))
 
 
+def inverted_index(tok: DataFrame) -> DataFrame:
+    """(word, tid, n): one posting a row, how often the post holds the word; a word of a third of all posts has as many rows,
+    not a list that one task must hold."""
+    return tok.groupBy("word", "tid").agg(F.count("*").alias("n"))
+
+
 def infrequent(counts: DataFrame, th: int) -> DataFrame:
     return counts.where(F.col("cnt") <= th)
 
@@ -51,17 +57,13 @@ def cell_spread(tok: DataFrame) -> DataFrame:
 
 def top_fraction(scored: DataFrame, score: str, key: str, fraction: float) -> DataFrame:
     """The first floor(n * fraction) rows by score falling, ties by key."""
-    n = scored.count()
-    return scored.orderBy(F.desc(score), key).limit(math.floor(n * fraction))
+    return first_rows(scored, [F.desc(score), F.col(key).asc()], fraction)
 
 
 def encode(counts: DataFrame, key: str, min_freq: int) -> DataFrame:
     """(key, cnt, id): id 0 for the most frequent; keys below ``min_freq`` get none.
 
-    Ids are made in two passes, counts of each frequency first, so that no task sorts the whole vocabulary.
+    No task sorts the whole vocabulary, nor all the keys of one count (see ``positions``).
     """
-    kept = counts.where(F.col("cnt") >= min_freq)
-    freq = kept.groupBy("cnt").agg(F.count("*").alias("_n"))  # as many rows as different counts
-    base = freq.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    r = kept.join(F.broadcast(base.select("cnt", "_base")), "cnt")
-    return r.select(key, "cnt", (F.col("_base") + F.row_number().over(Window.partitionBy("cnt").orderBy(key)) - 1).cast("bigint").alias("id"))
+    kept = counts.where(F.col("cnt") >= min_freq).select(key, "cnt")
+    return positions(kept, [F.desc("cnt"), F.col(key).asc()], name="id").select(key, "cnt", (F.col("id") - 1).alias("id"))

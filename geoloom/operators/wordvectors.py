@@ -34,6 +34,40 @@ def similar(vectors: DataFrame, words: list, k: int = 40) -> DataFrame:
     return s.orderBy(F.desc("sim"), "word").limit(k).select("word", "sim")
 
 
+def analogy_answers(vectors: DataFrame, questions: DataFrame, most: int = 200_000) -> DataFrame:
+    """Questions (section, a, b, c, d) with said, the word nearest to vec(b) - vec(a) + vec(c) by unit vectors, the three left
+    out, ties by the smaller word; null where a word of the question, the answer included, has no vector.
+
+    The vocabulary, at most ``most`` words (checked), goes to every task; questions are answered where they lie.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from geoloom.storage import at_most
+
+    if not at_most(vectors, most):
+        raise ValueError(f"more than {most} words; keep the frequent ones")
+    v = vectors.select("word", unit("vec").alias("vec")).orderBy("word").toPandas()
+    names, x = v["word"].to_numpy(), np.array(v["vec"].tolist(), dtype=float)
+    at = {w: i for i, w in enumerate(names)}
+
+    def run(batches):
+        for pdf in batches:
+            said = []
+            for a, b, c, d in zip(pdf["a"], pdf["b"], pdf["c"], pdf["d"]):
+                if not all(w in at for w in (a, b, c, d)):
+                    said.append(None)
+                    continue
+                s = np.round(x @ (x[at[b]] - x[at[a]] + x[at[c]]), 12)
+                s[[at[a], at[b], at[c]]] = -np.inf
+                said.append(names[int(s.argmax())])
+            yield pdf.assign(said=pd.Series(said, dtype=object, index=pdf.index))
+
+    kind = dict(vectors.dtypes)["word"]
+    q = questions.select("section", "a", "b", "c", "d")
+    return q.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in q.dtypes) + f", said {kind}")
+
+
 def analogy(vectors: DataFrame, a, b, c, k: int = 40) -> DataFrame:
     """(word, sim): nearest to vec(b) - vec(a) + vec(c), unit vectors, the three words left out."""
     sign = F.when(F.col("word") == a, -1.0).otherwise(1.0)

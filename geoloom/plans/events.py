@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import scalar as S
 from geoloom.operators import candidates as C
 from geoloom.operators import evaluate as E
+from geoloom.sources.formats import needed_vectors
 from geoloom.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -62,10 +63,11 @@ def b11_nonzero_members(spark: SparkSession, sf: str) -> DataFrame:
     return C.keep_nonzero(_with_vectors(spark, sf)).select("candidate_id", "tid")
 
 
-@query(f"WITH {_M}, need AS (SELECT DISTINCT tid FROM m) SELECT count(DISTINCT tid) AS posts FROM post_embedding WHERE tid IN (SELECT tid FROM need)")
+@query(f"WITH {_M}, {_V} SELECT tid, round(sqrt(list_dot_product(x, x)), 5) AS l2 FROM v WHERE tid IN (SELECT tid FROM m)")
 def c4_needed_embeddings(spark: SparkSession, sf: str) -> DataFrame:
-    need = _members(spark, sf).select("tid").distinct()
-    return table(spark, sf, "post_embedding").select("tid").join(need, "tid", "left_semi").agg(F.countDistinct("tid").alias("posts"))
+    """The vectors of members only, with the length of the text's."""
+    v = C.vectors(table(spark, sf, "post_embedding"), DIM, "spatial_embedding", "temporal_embedding", "textual_embedding")
+    return needed_vectors(v, _members(spark, sf)).select("tid", F.round(S.norm2("textual_embedding"), 5).alias("l2"))
 
 
 _COS = "CASE WHEN len(list_filter({0}, lambda y: y <> 0)) > 0 AND len(list_filter({1}, lambda y: y <> 0)) > 0 THEN list_cosine_similarity({0}, {1}) END"

@@ -34,11 +34,16 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
     return posts(spark, sf, "words").select("tid", tokens("words").alias("w")).where(F.size("w") > 0)
 
 
-_GRAMS = f"""{POST}, {TOK}, g1 AS (SELECT word AS phrase, 1 AS n, count(*) AS cnt FROM tok GROUP BY word HAVING count(*) >= 20),
-g2 AS (SELECT a.word || ' ' || b.word AS phrase, 2 AS n, count(*) AS cnt FROM tok a JOIN tok b ON a.tid = b.tid AND b.pos = a.pos + 1 WHERE a.word IN (SELECT phrase FROM g1) GROUP BY 1 HAVING count(*) >= 20),
-g3 AS (SELECT a.word || ' ' || b.word || ' ' || c.word AS phrase, 3 AS n, count(*) AS cnt FROM tok a JOIN tok b ON a.tid = b.tid AND b.pos = a.pos + 1 JOIN tok c ON a.tid = c.tid AND c.pos = a.pos + 2
-  WHERE a.word || ' ' || b.word IN (SELECT phrase FROM g2) GROUP BY 1 HAVING count(*) >= 20),
-gram AS (SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3)"""
+def _grams(most: int, threshold: int = 20) -> str:
+    """SQL of the frequent n-grams up to ``most`` words, each length from the tokens of the one before."""
+    out = [f"{POST}, {TOK}, o1 AS (SELECT tid, pos, word AS phrase FROM tok), g1 AS (SELECT phrase, 1 AS n, count(*) AS cnt FROM o1 GROUP BY 1 HAVING count(*) >= {threshold})"]
+    for n in range(2, most + 1):
+        out.append(f"o{n} AS (SELECT a.tid, a.pos, a.phrase || ' ' || b.word AS phrase FROM o{n - 1} a JOIN tok b ON a.tid = b.tid AND b.pos = a.pos + {n - 1} WHERE a.phrase IN (SELECT phrase FROM g{n - 1}))")
+        out.append(f"g{n} AS (SELECT phrase, {n} AS n, count(*) AS cnt FROM o{n} GROUP BY 1 HAVING count(*) >= {threshold})")
+    return ", ".join([*out, "gram AS (" + " UNION ALL ".join(f"SELECT * FROM g{n}" for n in range(1, most + 1)) + ")"])
+
+
+_GRAMS = _grams(6)
 
 
 @query(f"WITH {_GRAMS} SELECT phrase, n::BIGINT AS n, cnt FROM gram")
@@ -68,12 +73,12 @@ sc AS (SELECT a, b, ua.n AS cnt_a, ub.n AS cnt_b, cnt_ab, (cnt_ab - 5)::DOUBLE /
 
 @query(f"WITH {_BI} SELECT a, b, cnt_a, cnt_b, cnt_ab, score FROM sc")
 def d33_bigram_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return P.bigram_scores(post_tokens(spark, sf), 5)
+    return P.bigram_scores(_records(spark, sf), "w", 5)
 
 
 @query()
 def h42_joined_bigrams(spark: SparkSession, sf: str) -> DataFrame:
-    j = P.join_bigrams(_records(spark, sf), "w", P.bigram_scores(post_tokens(spark, sf), 5), 5.0)
+    j = P.join_bigrams(_records(spark, sf), "w", P.bigram_scores(_records(spark, sf), "w", 5), 5.0)
     return j.select("tid", F.array_join("words", " ").alias("words"))
 
 
@@ -141,7 +146,7 @@ def h39_word_vectors(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def h38_propagated_quality(spark: SparkSession, sf: str) -> DataFrame:
     g = d27_frequent_ngrams(spark, sf)
-    b = P.bigram_scores(post_tokens(spark, sf), 20).where("score > 0")
+    b = P.bigram_scores(_records(spark, sf), "w", 20).where("score > 0")
     near = b.select(F.col("a").alias("word"), F.col("b").alias("near"), F.least(F.col("score") / 10, F.lit(1.0)).alias("sim"))
     return Q.propagate(g.select(F.col("phrase").alias("word"), (F.col("cnt") / (F.col("cnt") + 100)).alias("score")).where("length(word) > 4"), near, near.select("word").where("length(word) <= 3"))
 

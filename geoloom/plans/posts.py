@@ -101,15 +101,19 @@ def d3_tfidf(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("word", F.round("tf", 9).alias("tf"), F.round("idf", 6).alias("idf"), F.round("score", 9).alias("score"))
 
 
-@query(f"WITH {POST}, {TOK} SELECT word, count(*) AS postings, min(tid) AS first_tid, max(tid) AS last_tid FROM tok GROUP BY word")
+@query(f"WITH {POST}, {TOK} SELECT word, tid, count(*) AS n FROM tok GROUP BY word, tid")
 def d4_inverted_index(spark: SparkSession, sf: str) -> DataFrame:
-    return post_tokens(spark, sf).groupBy("word").agg(F.count("*").alias("postings"), F.min("tid").alias("first_tid"), F.max("tid").alias("last_tid"))
+    return W.inverted_index(post_tokens(spark, sf))
 
 
-@query(f"WITH {POST}, {PLACE} SELECT {CELL} AS cell, count(*) AS n, round(avg(floor((lat + 90) * 20) / 20 - 90 + 0.025), 6) AS centre_lat FROM place GROUP BY 1")
+@query(f"""WITH {POST}, {PLACE}, c AS (SELECT least(floor(3600 * (lat + 90) / 180), 3599)::BIGINT + 3600 * least(floor(7200 * (x + 180) / 360), 7199)::BIGINT AS cell FROM place)
+SELECT cell, count(*) AS n, round(-90 + 0.05::DOUBLE * (cell % 3600 + 0.5::DOUBLE), 6) AS centre_lat, round(-180 + 0.05::DOUBLE * (floor(cell / 3600) + 0.5::DOUBLE), 6) AS centre_lng FROM c GROUP BY cell""")
 def g19_grid_cells(spark: SparkSession, sf: str) -> DataFrame:
-    p = posts(spark, sf, "lat", "lng", located=True).withColumn("cell", _cell())
-    return p.groupBy("cell").agg(F.count("*").alias("n")).withColumn("centre_lat", F.round(F.floor(F.col("cell") / 7200) / 20 - 90 + 0.025, 6))
+    """Cells of a grid of 3,600 by 7,200 over the globe that hold posts, their posts and centres."""
+    bins, x = [3600, 7200], wrap_lng(F.col("lng"))
+    p = posts(spark, sf, "lat", "lng", located=True).select(S.raw_cell([S.grid_index(F.col("lat"), -90, 90, 3600), S.grid_index(x, -180, 180, 7200)], bins).alias("cell"))
+    centre = [F.round(S.cell_centre(F.col("cell"), i, bins, low, high), 6).alias(f"centre_{c}") for i, (c, low, high) in enumerate((("lat", -90, 90), ("lng", -180, 180)))]
+    return p.groupBy("cell").agg(F.count("*").alias("n")).select("cell", "n", *centre)
 
 
 @query(f"WITH {POST}, {PLACE}, c AS (SELECT {CELL} AS cell, count(*) AS cnt FROM place GROUP BY 1 HAVING count(*) >= 3) SELECT cell, cnt, (row_number() OVER (ORDER BY cnt DESC, cell) - 1)::BIGINT AS id FROM c")
@@ -181,7 +185,7 @@ def d25_node_degrees(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_GRAPH}, known AS (SELECT word FROM vocab) SELECT etype, count(*) AS edges, sum(weight)::BIGINT AS weight FROM edges WHERE etype = 'ww' AND u IN (SELECT word FROM known) AND v IN (SELECT word FROM known) GROUP BY etype")
 def c9_known_edges(spark: SparkSession, sf: str) -> DataFrame:
-    e = G.known_edges(h2_cooccurrence_edges(spark, sf).where("etype = 'ww'"), table(spark, sf, "vocab").select(F.col("word").alias("node")))
+    e = G.known_edges(G.cooccurrence_edges(_nodes(spark, sf), ["ww"]), table(spark, sf, "vocab").select(F.col("word").alias("node")))
     return e.groupBy("etype").agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"))
 
 
@@ -229,18 +233,22 @@ def c3_query_bins(spark: SparkSession, sf: str) -> DataFrame:
     return q.groupBy("query_id").agg(F.count("*").alias("bins"), F.min("bin_id").alias("first_bin"), F.max("bin_id").alias("last_bin"))
 
 
-@query(f"WITH {POST} SELECT tid, array_to_string(list_filter(regexp_extract_all(lower(raw), '[0-9a-z]+'), lambda x: len(x) >= 2), ' ') AS parsed FROM post WHERE raw IS NOT NULL AND regexp_matches(raw, '^[ -~]*$')")
+@query(f"WITH {POST} SELECT tid, array_to_string(list_transform(list_filter(regexp_extract_all(raw, '[0-9a-zA-Z]+'), lambda x: len(x) >= 2), lambda x: lower(x)), ' ') AS parsed FROM post WHERE raw IS NOT NULL")
 def g1_parse_words(spark: SparkSession, sf: str) -> DataFrame:
-    p = posts(spark, sf, "raw").where("raw is not null")  # the SQL has the ASCII posts only
+    p = posts(spark, sf, "raw").where("raw is not null")
     return p.select("tid", F.array_join(T.parse_words("raw"), " ").alias("parsed"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) AS phrase FROM documents WHERE text IS NOT NULL AND lang = 'en' AND regexp_matches(text, '^[ -~]*$')")
+#: The engines differ in the lower case of this letter: one point in one of them, two in the other.
+_LOWER = "lower(replace(text, chr(304), 'i' || chr(775)))"
+
+
+@query(f"SELECT doc_id, trim(regexp_replace({_LOWER}, '[^a-z]+', ' ', 'g')) AS phrase FROM documents WHERE text IS NOT NULL")
 def g10_normalize_phrase(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("text is not null").select("doc_id", T.normalize_phrase("text").alias("phrase"))
 
 
-@query("""SELECT doc_id, len(list_filter(list_transform(string_split_regex(lower(text), '[.!?,;:()"\\[\\]]'), lambda s: trim(regexp_replace(s, '[^a-z'']+', ' ', 'g'))), lambda s: s <> ''))::BIGINT AS sentences FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[ -~]*$')""")
+@query(f"""SELECT doc_id, len(list_filter(list_transform(string_split_regex({_LOWER}, '[.!?,;:()"\\[\\]]'), lambda s: trim(regexp_replace(s, '[^a-z'']+', ' ', 'g'))), lambda s: s <> ''))::BIGINT AS sentences FROM documents WHERE text IS NOT NULL""")
 def g4_sentence_parts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("text is not null").select("doc_id", F.size(T.split_sentences("text")).cast("bigint").alias("sentences"))
 
@@ -262,11 +270,11 @@ def d13_user_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {POST}, {PLACE}, s AS (SELECT poi_id, lat AS y, lng AS x FROM poi WHERE lat IS NOT NULL AND lng IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lng)),
-d AS (SELECT tid, poi_id, row_number() OVER (PARTITION BY tid ORDER BY (place.lat - y) * (place.lat - y) + (place.x - s.x) * (place.x - s.x), poi_id) AS r FROM place, s WHERE tid % 20 = 0) SELECT tid, poi_id FROM d WHERE r = 1""")
+d AS (SELECT tid, poi_id, row_number() OVER (PARTITION BY tid ORDER BY (place.lat - y) * (place.lat - y) + (place.x - s.x) * (place.x - s.x), poi_id) AS r FROM place, s) SELECT tid, poi_id FROM d WHERE r = 1""")
 def c10_nearest_centre(spark: SparkSession, sf: str) -> DataFrame:
-    """The nearest of a fixed set of centres (planar degrees) for the stated query set, posts with a tid divisible by 20."""
+    """The nearest of a fixed set of centres (planar degrees) for every located post."""
     from geoloom.operators.clustering import nearest_centre
 
-    p = posts(spark, sf, "lat", "lng", located=True).where("tid % 20 = 0").select("tid", "lat", wrap_lng(F.col("lng")).alias("lng"))
+    p = posts(spark, sf, "lat", "lng", located=True).select("tid", "lat", wrap_lng(F.col("lng")).alias("lng"))
     c = table(spark, sf, "poi").where("lat is not null and lng is not null and not isnan(lat) and not isnan(lng)").select(F.col("poi_id").alias("id"), "lat", "lng")
     return nearest_centre(p, c, ["lat", "lng"]).select("tid", F.col("id").alias("poi_id"))

@@ -1,4 +1,4 @@
-"""Streams of posts: anchored bins, window counts and sliding sums of places with state; no clusterer."""
+"""Streams of posts: anchored bins, window counts and sliding sums of places with state; see ``mixture`` for the clusterer."""
 
 from __future__ import annotations
 
