@@ -5,7 +5,8 @@ parameter; everything else covers all rows).  A vector is indexed in the shard o
 the shards of its ``probes`` nearest ones and of all others at most ``margin`` radians farther than the nearest: where
 several pivots share a topic they lie about as far, so the shards searched grow with the pivots of a topic.  There is a
 pivot for every ``shard_rows`` vectors, at most ``max_pivots``; a pivot that attracts more than ``4 * shard_rows`` vectors
-is split by hash into several shards, all of which are searched.  Each shard is one task.  With ``scan`` it compares a
+is split by hash into several shards, all of which are searched.  A shard that more than ``visit_rows`` vectors would visit
+is copied for so many parts of its visitors that none gets more.  Each shard (part) is one task.  With ``scan`` it compares a
 searched vector with all its vectors, which is exact; without, it builds a graph (``hnsw.Graph``), which finds close pairs
 but loses many of the farther neighbours of vectors that come from another shard.  Vectors whose lists are not wanted are
 indexed but not searched for.
@@ -59,28 +60,38 @@ def fit_pivots(sample: np.ndarray, pivots: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def _route(pivots: np.ndarray, splits: np.ndarray, probes: int, margin: float, dim: int):
-    base = np.r_[0, np.cumsum(splits)]
+def _reach(unit: np.ndarray, pivots: np.ndarray, probes: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """(pivots from near to far, how many of them are searched) for every vector."""
+    s = unit @ pivots.T
+    near = np.argsort(-s, axis=1, kind="stable")
+    far = np.arccos(np.clip(np.take_along_axis(s, near, 1), -1.0, 1.0))
+    return near, np.minimum(np.maximum(probes, (far <= far[:, :1] + margin).sum(1)), len(pivots))
+
+
+def _route(pivots: np.ndarray, splits: np.ndarray, parts: np.ndarray, probes: int, margin: float, dim: int):
+    base = np.r_[0, np.cumsum(splits * parts)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s = _unit(_matrix(batch["v"], dim)) @ pivots.T
-            near = np.argsort(-s, axis=1, kind="stable")
-            far = np.arccos(np.clip(np.take_along_axis(s, near, 1), -1.0, 1.0))
+            near, reach = _reach(_unit(_matrix(batch["v"], dim)), pivots, probes, margin)
             asked = np.asarray(batch["asked"].to_numpy(zero_copy_only=False), dtype=bool)
-            reach = np.where(asked, np.maximum(probes, (far <= far[:, :1] + margin).sum(1)), 1)
-            part = np.asarray(batch["h"]).astype(np.uint64)
-            for j in range(min(int(reach.max()), s.shape[1])):
-                wide = np.where(reach > j, splits[near[:, j]], 0)
+            reach = np.where(asked, reach, 1)
+            h = np.asarray(batch["h"]).astype(np.uint64)
+            for j in range(int(reach.max())):
+                pivot = near[:, j]
+                wide, many = np.where(reach > j, splits[pivot], 0), parts[pivot]
+                mine = ((h >> np.uint64(20)) % many.astype(np.uint64)).astype(np.int64)  # the part that searches for a vector
                 for k in range(int(wide.max())):
-                    take = np.flatnonzero(wide > k)
-                    home = (part[take] % wide[take].astype(np.uint64)).astype(np.int64) == k
-                    take, home = take[home | asked[take]], home[home | asked[take]]
-                    shard, at = base[near[take, j]] + k, pa.array(take)
-                    cols = [pa.array(shard), batch["rep"].take(at), pa.array(home & (j == 0)), batch["asked"].take(at), batch["v"].take(at)]
-                    yield pa.RecordBatch.from_arrays(cols, ["shard", "rep", "indexed", "asked", "v"])
+                    home = (j == 0) & (wide > k) & ((h % np.maximum(wide, 1).astype(np.uint64)).astype(np.int64) == k)
+                    for p in range(int(many[wide > k].max(initial=0))):
+                        here = asked & (wide > k) & (mine == p)
+                        take = np.flatnonzero(here | (home & (many > p)))
+                        if len(take):
+                            shard, at = base[pivot[take]] + k * many[take] + p, pa.array(take)
+                            cols = [pa.array(shard), batch["rep"].take(at), pa.array(home[take]), pa.array(here[take]), batch["v"].take(at)]
+                            yield pa.RecordBatch.from_arrays(cols, ["shard", "rep", "indexed", "asked", "v"])
 
     return run
 
@@ -132,7 +143,7 @@ def _search(k: int, links: int, beam: int, dim: int, least: float, scan: bool):
 
 def nearest(
     df: DataFrame, id_col: str, vec: str, k: int, *, dim: int, min_similarity: float = -2.0, queries: Column | None = None,
-    shard_rows: int = 6000, probes: int = 3, margin: float = 0.3, max_pivots: int = 128, scan: bool = True, links: int = 10, beam: int = 20, sample_rows: int = 50_000,
+    shard_rows: int = 6000, probes: int = 3, margin: float = 0.3, max_pivots: int = 128, scan: bool = True, links: int = 10, beam: int = 20, sample_rows: int = 50_000, visit_rows: int = 200_000,
 ) -> DataFrame:
     """(id, near, sim, rank): for every id the k ids with the most similar vector by cosine, ties by the smaller id.
 
@@ -159,8 +170,11 @@ def nearest(
     pivots = fit_pivots(unit, n)
     share = np.bincount((unit @ pivots.T).argmax(1), minlength=n) / len(unit) * total
     splits = np.maximum(1, np.ceil(share / (4 * shard_rows))).astype(np.int64)
+    near, reach = _reach(unit, pivots, probes, margin)
+    visits = np.bincount(near[np.arange(n) < reach[:, None]], minlength=n) / len(unit) * total
+    parts = np.maximum(1, np.ceil(visits / visit_rows)).astype(np.int64)
     list_type = rows.schema["v"].dataType.simpleString()
-    routed = groups.select("h", "rep", "asked", "v").mapInArrow(_route(pivots, splits, probes, margin, dim), f"shard bigint, rep bigint, indexed boolean, asked boolean, v {list_type}")
+    routed = groups.select("h", "rep", "asked", "v").mapInArrow(_route(pivots, splits, parts, probes, margin, dim), f"shard bigint, rep bigint, indexed boolean, asked boolean, v {list_type}")
     found = routed.groupBy("shard").applyInArrow(_search(k, links, beam, dim, min_similarity, scan), "rep bigint, near bigint, sim double")
 
     # copies: the k + 1 smallest ids of each group stand for it in other lists

@@ -84,7 +84,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     cand = table(spark, sf_dir, "candidates").select("candidate_id", "query_id").where("query_id is not null").distinct()
     feat = table(spark, sf_dir, "candidate_features").select("candidate_id", "st_unusualness")
     feat = feat.where("st_unusualness is not null and not isnan(st_unusualness)").distinct()
-    return top_n(cand.join(feat, "candidate_id"), "query_id", "st_unusualness", "candidate_id", 10).select("query_id", "candidate_id")
+    return top_n(cand.join(feat, "candidate_id"), "query_id", "st_unusualness", "candidate_id", 10, unique=True).select("query_id", "candidate_id")
 
 
 def _spellings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -98,9 +98,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tid, word_id): a reader sees the vocab word in the post, but no token of the post is exactly that word."""
     posts, forms = _spellings(spark, sf_dir)
     forms, _ = cut(forms.where("word_id is not null"), "forms")
+    seen = posts.withColumn("value", F.explode(F.array_distinct(visual_words("words"))))
     if at_most(forms, 200_000):
-        forms = F.broadcast(forms)
-    seen = posts.withColumn("value", F.explode(F.array_distinct(visual_words("words")))).join(forms, "value")
+        seen = seen.join(F.broadcast(forms), "value")
+    else:  # a word that a third of all posts hold is spread over as many tasks as there are salts
+        salted = forms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31)).cast("array<bigint>")))
+        seen = seen.withColumn("salt", F.pmod(F.xxhash64("tid"), F.lit(32))).join(salted, ["value", "salt"])
     return seen.where(~F.array_contains(tokens("words"), F.col("canonical"))).select("tid", "word_id").distinct()
 
 
@@ -178,6 +181,25 @@ reach AS (SELECT x, y FROM link UNION SELECT reach.x, link.y FROM reach JOIN lin
 named AS (SELECT x AS tid, least(x, min(y)) AS cluster_tid FROM reach GROUP BY x),
 big AS (SELECT cluster_tid FROM named GROUP BY cluster_tid HAVING count(*) >= 5)
 SELECT cluster_tid, tid FROM named WHERE cluster_tid IN (SELECT cluster_tid FROM big)""",
+    "p3_typical": """
+WITH RECURSIVE p AS (
+  SELECT DISTINCT tid, lat, lng - 360 * floor((lng + 180) / 360) AS lng, ts FROM tweet
+  WHERE lat IS NOT NULL AND lng IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lng) AND lat BETWEEN -90 AND 90 AND abs(lng) < 1e15 AND NOT (lat = 0 AND lng = 0) AND ts IS NOT NULL),
+cell AS (SELECT *, floor(ts / 601)::BIGINT AS c FROM p),
+near AS (SELECT *, unnest([c - 1, c, c + 1]) AS k FROM cell),
+link AS (
+  SELECT a.tid AS x, b.tid AS y FROM cell a JOIN near b ON a.c = b.k AND a.tid <> b.tid
+  WHERE abs(a.ts - b.ts) <= 600 AND abs(a.lat - b.lat) < 0.001
+    AND 2 * 6373000 * asin(least(1, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2)
+      + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))) <= 80),
+reach AS (SELECT x, y FROM link UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x),
+named AS (SELECT x AS tid, least(x, min(y)) AS cluster_tid FROM reach GROUP BY x),
+big AS (SELECT cluster_tid FROM named GROUP BY cluster_tid HAVING count(*) >= 5),
+found AS (SELECT cluster_tid, named.tid, lat, lng, ts FROM named JOIN p ON p.tid = named.tid WHERE cluster_tid IN (SELECT cluster_tid FROM big)),
+rel AS (SELECT f.*, r.lng + (f.lng - r.lng - 360 * floor((f.lng - r.lng + 180) / 360)) AS x FROM found f JOIN found r ON r.tid = f.cluster_tid),
+mean AS (SELECT cluster_tid, count(*) AS size, avg(lat) AS y, avg(x) AS x0, avg(ts) AS t FROM rel GROUP BY cluster_tid),
+apart AS (SELECT rel.cluster_tid, size, tid, round(pow(2 * 6373000 * asin(least(1, sqrt(pow(sin(radians(y - lat) / 2), 2) + cos(radians(lat)) * cos(radians(y)) * pow(sin(radians(x0 - x) / 2), 2)))) / 80, 2) + pow((ts - t) / 600, 2), 9) AS o FROM rel JOIN mean USING (cluster_tid))
+SELECT cluster_tid, size, rank, tid FROM (SELECT *, row_number() OVER (PARTITION BY cluster_tid ORDER BY o, tid) AS rank FROM apart) WHERE rank <= 3""",
     "p4_found": """
 WITH ok AS (SELECT DISTINCT tid, textual_embedding::DOUBLE[] AS v FROM post_embedding
   WHERE len(textual_embedding) = 48 AND len(list_filter(textual_embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0

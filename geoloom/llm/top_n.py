@@ -25,17 +25,19 @@ def _bin(score: Column) -> Column:
     return (F.signum(score) * F.floor(size)).cast("bigint")
 
 
-def top_n(df: DataFrame, group: str, score: str, tie: str, n: int, *, descending: bool = False, small: int = 1000, broadcast_rows: int = 200_000, salts: int = 32) -> DataFrame:
+def top_n(df: DataFrame, group: str, score: str, tie: str, n: int, *, descending: bool = False, unique: bool = False, small: int = 1000, broadcast_rows: int = 200_000, salts: int = 32) -> DataFrame:
     """(group, tie, score, rank): the n rows of every group with the smallest (largest) score, ties by the tie key ascending.
 
     Rows with a null group, tie key or score, or a score that is not a number, take no part; -0.0 equals 0.0; rows equal
-    in group, tie key and score count once.  Groups with fewer than n rows give all of them.
+    in group, tie key and score count once.  Groups with fewer than n rows give all of them.  ``unique`` says that there are
+    no such repeated rows: the histogram then shuffles one count for each bin and task only.
     """
     rows = df.select(F.col(group).alias("_g"), F.col(tie).alias("_t"), (F.col(score).cast("double") + 0.0).alias("_s"))
     rows = rows.where(F.col("_g").isNotNull() & F.col("_t").isNotNull() & F.col("_s").isNotNull() & ~F.isnan("_s"))
     rows = rows.withColumn("_b", (-_bin(F.col("_s")) if descending else _bin(F.col("_s"))))
-    # repeated rows would raise a bin's count without adding a survivor: the histogram counts different tie keys
-    counts = rows.groupBy("_g", "_b", "_t", "_s").agg(F.lit(1).alias("_one")).groupBy("_g", "_b").agg(F.count("*").alias("_c"))
+    # repeated rows would raise a bin's count without adding a survivor: the histogram counts different rows
+    once = rows if unique else rows.select("_g", "_b", "_t", "_s").distinct()
+    counts = once.groupBy("_g", "_b").agg(F.count("*").alias("_c"))
     run = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("_g")
     cut = counts.withColumn("_run", F.sum("_c").over(run)).withColumn("_all", F.sum("_c").over(whole))

@@ -262,6 +262,15 @@ def test_neighbours_with_more_pivots_than_topics(spark):
     assert np.mean([len(got[i] & set(np.argsort(-s[i])[:5])) / 5 for i in got]) > 0.95
 
 
+def test_neighbours_of_a_hot_topic(spark):
+    rng = np.random.default_rng(4)
+    x = np.r_[rng.standard_normal((900, 12)) * 0.3 + 2, rng.standard_normal((300, 12))]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "tid bigint, v array<float>")
+    plain = {(r.id, r.near, r["rank"]) for r in neighbours.nearest(df, "tid", "v", 3, dim=12, shard_rows=100, probes=3).collect()}
+    parted = {(r.id, r.near, r["rank"]) for r in neighbours.nearest(df, "tid", "v", 3, dim=12, shard_rows=100, probes=3, visit_rows=150).collect()}
+    assert parted == plain and len({i for i, *_ in plain}) == 1200
+
+
 # 5 top n
 
 
@@ -281,6 +290,8 @@ def test_top_n(spark):
     salted = top_n.top_n(df, "g", "s", "t", 7, small=20, broadcast_rows=0, salts=3)
     assert {tuple(r) for r in salted.collect()} == {tuple(r) for r in top_n.top_n(df, "g", "s", "t", 7, small=20).collect()}
     assert top_n.top_n(df.limit(0), "g", "s", "t", 7).isEmpty()
+    once = df.distinct()
+    assert {tuple(r) for r in top_n.top_n(once, "g", "s", "t", 7, small=20, unique=True).collect()} == {tuple(r) for r in top_n.top_n(once, "g", "s", "t", 7, small=20).collect()}
 
 
 # 6 look-alikes
