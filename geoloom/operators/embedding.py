@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.storage import cut
+from geoloom.storage import cut, release
 
 ORDER = ["ww", "ll", "tt", "wl", "lt", "tw", "lw", "tl", "wt", "cl", "ct", "cw", "lc", "tc", "wc"]
 
@@ -97,6 +97,7 @@ def fit(edges: DataFrame, dim: int = 20, rounds: int = 2, samples: float = 1.0,
     ends, _ = cut(ends, "ends")
     first = F.array(*((F.pmod(F.xxhash64("node", F.lit(seed), F.lit(i)), F.lit(1 << 20)) / float(1 << 20) - 0.5) / dim for i in range(dim)))
     vecs = ends.select("node").distinct().select("node", first.cast("array<float>").alias("vec"), F.array_repeat(F.lit(0.0), dim).cast("array<float>").alias("ctx"))
+    last = None
     for r in range(rounds):
         own = ends.join(vecs, "node").select("part", F.lit(None).cast("string").alias("etype"), F.col("node").alias("u"), F.lit(None).cast("string").alias("v"), F.lit(0).cast("bigint").alias("weight"), "vec", "ctx")
         empty = F.lit(None).cast("array<float>")
@@ -104,7 +105,10 @@ def fit(edges: DataFrame, dim: int = 20, rounds: int = 2, samples: float = 1.0,
         out = rows.groupBy("part").applyInPandas(_train(dim, samples, negative, alpha * (1 - r / rounds), second_order, seed + 1000 * r), "node string, vec array<float>, ctx array<float>, touched double")
         mean = [F.sum(F.col("touched") * F.col(c)[i]) / F.sum("touched") for c in ("vec", "ctx") for i in range(dim)]
         vecs = out.groupBy("node").agg(F.array(*mean[:dim]).cast("array<float>").alias("vec"), F.array(*mean[dim:]).cast("array<float>").alias("ctx"))
-        vecs, _ = cut(vecs, "vectors")
+        vecs, at = cut(vecs, "vectors")
+        if last:
+            release(e.sparkSession, last)
+        last = at
     return vecs
 
 

@@ -160,6 +160,12 @@ def e15_similar_to_several(spark: SparkSession, sf: str) -> DataFrame:
     return W.similar(v, [3, 4]).select(F.col("word").alias("vec_id"), F.round("sim", 6).alias("sim"))
 
 
+@query()
+def h39_continuous_bag_of_words(spark: SparkSession, sf: str) -> DataFrame:
+    """(word, vec) by the words around, where ``h39_word_vectors`` goes by the word."""
+    return W.cbow(_records(spark, sf), "w", 16, min_count=20)
+
+
 _ASK = "(SELECT vec_id AS a, vec_id + 1 AS b, vec_id + 2 AS c, vec_id + 3 AS d, vec_id // 10 % 8 + 1 AS section FROM embeddings WHERE vec_id % 10 = 0)"
 
 

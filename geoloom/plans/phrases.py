@@ -76,7 +76,10 @@ def d33_bigram_scores(spark: SparkSession, sf: str) -> DataFrame:
     return P.bigram_scores(_records(spark, sf), "w", 5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BI}, hot AS (SELECT DISTINCT a, b FROM sc WHERE score > 5), t AS (SELECT x.tid, x.pos, x.word, hot.a IS NOT NULL AS hot FROM tok x LEFT JOIN tok y ON x.tid = y.tid AND y.pos = x.pos + 1 LEFT JOIN hot ON hot.a = x.word AND hot.b = y.word),
+walk AS (SELECT tid, pos, word, hot, false AS glued FROM t WHERE pos = 1 UNION ALL SELECT t.tid, t.pos, t.word, t.hot, walk.hot AND NOT walk.glued FROM walk JOIN t ON t.tid = walk.tid AND t.pos = walk.pos + 1),
+part AS (SELECT tid, pos, word, sum(CASE WHEN glued THEN 0 ELSE 1 END) OVER (PARTITION BY tid ORDER BY pos) AS g FROM walk), joined AS (SELECT tid, g, string_agg(word, '_' ORDER BY pos) AS w FROM part GROUP BY tid, g)
+SELECT tid, string_agg(w, ' ' ORDER BY g) AS words FROM joined GROUP BY tid""")
 def h42_joined_bigrams(spark: SparkSession, sf: str) -> DataFrame:
     j = P.join_bigrams(_records(spark, sf), "w", P.bigram_scores(_records(spark, sf), "w", 5), 5.0)
     return j.select("tid", F.array_join("words", " ").alias("words"))
@@ -143,12 +146,25 @@ def h39_word_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return V.skip_gram(_records(spark, sf), "w", 16, min_count=20)
 
 
-@query()
+def _h38(rounds: int = 5) -> str:
+    out = [f"""{_GRAMS}, u AS (SELECT word, count(*) AS n FROM tok GROUP BY word), s AS (SELECT count(*) AS total FROM tok), b AS (SELECT x.word AS a, y.word AS b, count(*) AS cnt_ab FROM tok x JOIN tok y ON x.tid = y.tid AND y.pos = x.pos + 1 GROUP BY 1, 2),
+sc AS (SELECT a, b, (cnt_ab - 20)::DOUBLE / ua.n / ub.n * total AS score FROM b JOIN u ua ON ua.word = a JOIN u ub ON ub.word = b, s WHERE ua.n >= 20 AND ub.n >= 20),
+near AS (SELECT a AS word, b AS near, least(score / 10, 1.0) AS sim FROM sc WHERE score > 0), given AS (SELECT phrase AS word, cnt / (cnt + 100.0::DOUBLE) AS given FROM gram WHERE length(phrase) > 4), stop AS (SELECT DISTINCT word FROM near WHERE length(word) <= 3),
+base AS (SELECT near.word, sum(sim * coalesce(given, 0)) / 3 AS start FROM near LEFT JOIN given ON given.word = near.near GROUP BY near.word),
+r0 AS (SELECT coalesce(base.word, given.word) AS word, coalesce(given, start) AS score, given FROM base FULL JOIN given ON given.word = base.word)"""]
+    for i in range(rounds):
+        out.append(f"m{i} AS (SELECT near.word, sum(sim * score) / nullif(sum(sim), 0) AS m FROM near JOIN r{i} ON r{i}.word = near.near GROUP BY near.word)")
+        out.append(f"r{i + 1} AS (SELECT r.word, coalesce(given, 0.7 * score + 0.3 * (CASE WHEN stop.word IS NOT NULL THEN 0 ELSE coalesce(m, 0) END)) AS score, given FROM r{i} r LEFT JOIN m{i} ON m{i}.word = r.word LEFT JOIN stop ON stop.word = r.word)")
+    return f"WITH {', '.join(out)} SELECT word, round(score, 6) AS score FROM r{rounds}"
+
+
+@query(_h38())
 def h38_propagated_quality(spark: SparkSession, sf: str) -> DataFrame:
     g = d27_frequent_ngrams(spark, sf)
     b = P.bigram_scores(_records(spark, sf), "w", 20).where("score > 0")
     near = b.select(F.col("a").alias("word"), F.col("b").alias("near"), F.least(F.col("score") / 10, F.lit(1.0)).alias("sim"))
-    return Q.propagate(g.select(F.col("phrase").alias("word"), (F.col("cnt") / (F.col("cnt") + 100)).alias("score")).where("length(word) > 4"), near, near.select("word").where("length(word) <= 3"))
+    given = g.select(F.col("phrase").alias("word"), (F.col("cnt") / (F.col("cnt") + 100)).alias("score")).where("length(word) > 4")
+    return Q.propagate(given, near, near.select("word").where("length(word) <= 3")).select("word", F.round("score", 6).alias("score"))
 
 
 @query()

@@ -11,7 +11,11 @@ COLUMNS = ["tid", "uid", "lat", "lng", "created_at", "ts", "words", "raw", "poi_
 
 
 def posts(spark: SparkSession, sf_dir: str, *columns: str, located: bool = False) -> DataFrame:
-    """One row for each tid with the wanted columns only, so that the scan reads no others; repeated rows collapse."""
+    """The wanted columns of every post with a tid, so that the scan reads no others; rows equal in them collapse.
+
+    Repeated rows of a tid differ in ``ingested_at`` only, so without that column a tid has one row; should other columns
+    differ, it keeps a row for each difference.
+    """
     want = ["tid", *[c for c in (columns or COLUMNS) if c != "tid"]]
     t = table(spark, sf_dir, "tweet").select(*dict.fromkeys([*want, *(["lat", "lng"] if located else [])])).where("tid is not null")
     return (t.where(has_place()) if located else t).distinct()

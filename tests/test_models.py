@@ -373,6 +373,17 @@ def test_word_vector_queries(spark):
     assert kept["cold"] == 5 and 150 < kept["hot"] < 300  # (sqrt(c / sN) + 1) sN / c = 0.11
 
 
+def test_continuous_bag_of_words(spark):
+    rng = random.Random(0)
+    rec = [[rng.choice(["sun", "sea", "sand"] if i % 2 else ["rain", "coat", "mud"]) for _ in range(6)] for i in range(600)] + [[], ["sun"], ["seldom", "sun"]]
+    df = spark.createDataFrame([(r, 1) for r in rec] + [(None, 1)], "w array<string>, vec int")
+    v = {r.word: np.array(r.vec) for r in wordvectors.cbow(df, "w", 8, 3, 5, rounds=6, alpha=0.3, part_records=200).collect()}
+    assert set(v) == {"sun", "sea", "sand", "rain", "coat", "mud"}
+    cos = lambda a, b: v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b])
+    assert min(cos("sun", "sea"), cos("rain", "mud")) > max(cos("sun", "rain"), cos("sea", "mud"))
+    assert wordvectors.cbow(df.limit(0), "w", 8).isEmpty()
+
+
 # layouts and settings
 
 
