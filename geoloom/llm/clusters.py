@@ -224,7 +224,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def _signatures(side: float, span: int, bands: int, rows_a_band: int):
     wide, deep = 2 * _REACH[1] + 1, 2 * _REACH[2] + 1
-    seeds = _mix(np.arange(1, bands * rows_a_band + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    # elements are mixed already: a product with an odd number is a permutation of them
+    seeds = _mix(np.arange(1, bands * rows_a_band + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
     def run(batches):
         for batch in batches:
@@ -238,7 +239,7 @@ def _signatures(side: float, span: int, bands: int, rows_a_band: int):
                     cell = cell.reshape(len(y), -1)
                     span_hash = _mix((t0[:, None] + np.arange(deep)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                     element = _mix(cell[:, :, None] ^ span_hash[:, None, :]).reshape(len(y), -1)
-                    low = np.stack([_mix(element ^ s).min(1) for s in seeds], 1).reshape(len(y), bands, rows_a_band)
+                    low = np.stack([(element * s).min(1) for s in seeds], 1).reshape(len(y), bands, rows_a_band)
                     key = low[:, :, 0].copy()
                     for k in range(1, rows_a_band):
                         key = _mix(key ^ low[:, :, k])
