@@ -59,6 +59,7 @@ class PairTable:
         self.buckets, self.min_both = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), min_both
         self.version, self.total = 0, 0
         self.where: dict[str, dict[int, int]] = {kind: {} for kind in _SCHEMA}  # bucket -> version that holds it; as many entries as buckets
+        self.stale: set[int] = set()  # buckets whose scores are behind their counts
         at, files = file_system(spark, f"{self.path}/manifest")
         if files.exists(at):
             known = [s.getPath().getName() for s in files.listStatus(at)]
@@ -66,7 +67,7 @@ class PairTable:
             if done:
                 m = json.loads(spark.read.text(f"{self.path}/manifest/{done[-1]}", wholetext=True).first()[0])
                 self.version, self.total, self.buckets, self.min_both = m["version"], m["total"], m["buckets"], m["min_both"]
-                self.where = {kind: {int(b): v for b, v in held.items()} for kind, held in m["where"].items()}
+                self.where, self.stale = {kind: {int(b): v for b, v in held.items()} for kind, held in m["where"].items()}, set(m["stale"])
 
     def _read(self, kind: str, buckets: set[int] | None = None) -> DataFrame:
         paths = [f"{self.path}/{kind}/v={v}/bucket={b}" for b, v in sorted(self.where[kind].items()) if buckets is None or b in buckets]
@@ -85,21 +86,26 @@ class PairTable:
         kept = {} if touched is None else {b: v for b, v in self.where[kind].items() if b not in touched}
         self.where[kind] = {**kept, **dict.fromkeys(written, self.version + 1)}
 
-    def _merge(self, kind: str, deltas: DataFrame) -> set[int] | None:
-        """Adds deltas to the stored counts; the buckets that were written, None for all."""
+    def _merge(self, kind: str, deltas: DataFrame, at: str | None = None) -> set[int] | None:
+        """Adds deltas to the stored counts; the buckets that were written, None for all.  ``at``: where the deltas are written
+        already, summed."""
         keys, touched = _KEYS[kind], None
-        summed = deltas.groupBy(*keys).agg(F.sum("n").alias("n")).where(F.col("n") != 0)
+        summed = deltas if at else deltas.groupBy(*keys).agg(F.sum("n").alias("n")).where(F.col("n") != 0)
         if not self.where[kind]:
             self._write(kind, summed, None)
             return None
-        summed, at = cut(summed, "deltas")
+        if not at:
+            summed, at = cut(summed, "deltas")
         touched = {r[0] for r in summed.select(self._bucket(kind)).distinct().collect()}  # at most one row a bucket
         stored = self._read(kind, touched)
         self._write(kind, summed.unionByName(stored).groupBy(*keys).agg(F.sum("n").alias("n")).where(F.col("n") != 0), touched)
-        release(self.spark, at)
+        if kind == "pairs":
+            release(self.spark, at)
         return touched
 
     def _score(self, touched: set[int] | None, changed: DataFrame | None) -> None:
+        if touched is not None:
+            touched = touched | self.stale
         if touched is not None and len(touched) < self.buckets and changed is not None:
             pair = self._read("pairs").where(F.col("n") >= self.min_both)
             hit = changed.select("item").distinct()
@@ -111,13 +117,17 @@ class PairTable:
         a = item.select(F.col("item").alias("a"), F.col("n").alias("n_a"))
         b = item.select(F.col("item").alias("b"), F.col("n").alias("n_b"))
         self._write("scores", pair.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "n_ab"), touched)
+        self.stale = set()
+
+    def apply(self, changes: DataFrame, scores: bool = True) -> None:
+        """Merges a change.  Without ``scores`` their recomputation is left to a later change that has it; until then
+        ``scores()`` raises."""
 
-    def apply(self, changes: DataFrame) -> None:
         def clean(c: str) -> Column:
             return F.array_sort(F.array_distinct(F.array_compact(F.coalesce(c, F.array().cast("array<string>")))))
 
         ch = changes.select(F.col("before").isNull().alias("_born"), F.col("after").isNull().alias("_dead"), clean("before").alias("_o"), clean("after").alias("_n"))
-        held = dict(self.where)
+        held, behind = dict(self.where), set(self.stale)
         first = not self.version
         grown = ch.agg(F.sum(F.col("_born").cast("int") - F.col("_dead").cast("int"))).first()[0] or 0
         try:
@@ -128,18 +138,21 @@ class PairTable:
             if not first:
                 moved, at = cut(item.groupBy("item").agg(F.sum("n").alias("n")).where(F.col("n") != 0), "moved")
                 item = moved
-            self._merge("items", item)
+            self._merge("items", item, None if first else at)
             touched = self._merge("pairs", pair)
-            self._score(touched, moved)
+            if scores:
+                self._score(touched, moved)
+            else:  # the marginals of any pair may have moved
+                self.stale = set(range(self.buckets))
             self._commit(self.total + int(grown))
             if not first:
                 release(self.spark, at)
         except BaseException:
-            self.where = held
+            self.where, self.stale = held, behind
             raise
 
     def _commit(self, total: int) -> None:
-        done = {"version": self.version + 1, "total": total, "buckets": self.buckets, "min_both": self.min_both, "where": self.where}
+        done = {"version": self.version + 1, "total": total, "buckets": self.buckets, "min_both": self.min_both, "where": self.where, "stale": sorted(self.stale)}
         tmp, files = file_system(self.spark, f"{self.path}/manifest/.{self.version + 1:08d}.tmp")
         out = files.create(tmp, True)
         out.write(bytearray(json.dumps(done).encode()))
@@ -164,6 +177,8 @@ class PairTable:
         """
         if min_both is not None and min_both < self.min_both:
             raise ValueError(f"this table keeps scores of pairs in at least {self.min_both} baskets")
+        if self.stale:
+            raise ValueError("scores are behind the counts: apply a change with scores")
         pair = self._read("scores").where(F.col("n_ab") >= (min_both or self.min_both))
         if changed is not None:
             hit = changed.select("item").distinct()

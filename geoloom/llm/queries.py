@@ -27,7 +27,7 @@ def _pair_scores(spark: SparkSession, sf_dir: str, min_both: int) -> DataFrame:
     base, at = cut(base, "baskets")
     none, basket = F.lit(None).cast("array<string>"), lambda c: F.coalesce(tokens(c), F.array().cast("array<string>"))
     pairs = PairTable(spark, min_both=min_both)
-    pairs.apply(base.where("had").select(none.alias("before"), basket("old").alias("after")))
+    pairs.apply(base.where("had").select(none.alias("before"), basket("old").alias("after")), scores=False)
     later = base.where("not had or not (old <=> new)")
     pairs.apply(later.select(F.when(F.col("had"), basket("old")).alias("before"), basket("new").alias("after")))
     release(spark, at)

@@ -58,6 +58,9 @@ def test_pairs_survive_failures_and_reopening(spark, tmp_path):
         t.apply(bad)
     again = pairs.PairTable(spark, at)
     assert (again.version, again.total, again.buckets, again.min_both) == (1, 3, 4, 2)
+    again.apply(spark.createDataFrame([(["x"], ["x"])], kind), scores=False)
+    with pytest.raises(ValueError):
+        pairs.PairTable(spark, at).scores()
     again.apply(spark.createDataFrame([(["a", "b", "c"], None), (["a", "b"], ["a", "b", "d"]), (None, ["b", "a"])], kind))
     third = pairs.PairTable(spark, at)
     assert {(r.a, r.b): r.n for r in third.pairs().collect()} == {("a", "b"): 2, ("a", "d"): 1, ("b", "d"): 1} and third.total == 3
