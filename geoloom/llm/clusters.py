@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from geoloom.operators.nearby import EARTH_M, great_circle_m
 from geoloom.sources.tables import has_place, wrap_lng
-from geoloom.storage import cut, release
+from geoloom.storage import at_most, cut, release
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -276,6 +276,29 @@ def _jaccard(side: float, span: int):
     return run
 
 
+def _cells_of(records: DataFrame, id_col: str, lat: str, lng: str, ts: str, metres: float, seconds: int) -> tuple[DataFrame, DataFrame, str]:
+    """(records with their cell _r, _c, _t, cells with node, the place and time of that record and n rows, the cells' path)."""
+    pt = records.where(F.col(id_col).isNotNull() & F.col(ts).isNotNull() & has_place(lat, lng))
+    pt = pt.select(F.col(id_col).cast("bigint").alias("id"), F.col(lat).cast("double").alias("lat"), wrap_lng(F.col(lng).cast("double")).alias("lng"), F.col(ts).cast("bigint").alias("ts"))
+    side = math.degrees(metres / EARTH_M)
+    row = F.floor((F.col("lat") + 90.0) / side)
+    around = F.greatest(F.floor(F.cos(F.radians(F.least(F.abs(row * side - 90.0), F.abs((row + 1) * side - 90.0), F.lit(90.0)))) * (360.0 / side)), F.lit(1))
+    pt = pt.select("*", row.alias("_r"), F.floor((F.col("lng") + 180.0) / 360.0 * around).alias("_c"), F.floor(F.col("ts") / seconds).alias("_t"))
+    cells = pt.groupBy("_r", "_c", "_t").agg(F.min("id").alias("node"), F.count("*").alias("n"), *(F.min_by(c, "id").alias(c) for c in ("lat", "lng", "ts")))
+    return pt, *cut(cells, "cells")
+
+
+def _links(cells: DataFrame, metres: float, seconds: int, min_jaccard: float, bands: int, rows_a_band: int) -> DataFrame:
+    side = math.degrees(metres / EARTH_M)
+    keys = cells.select("node", "lat", "lng", "ts").mapInArrow(_signatures(side, seconds, bands, rows_a_band), "key bigint, node bigint")
+    p, q = keys.alias("p"), keys.alias("q")  # both sides are one shuffle
+    pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node"))).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+    for s, end in (("p", "a"), ("q", "b")):
+        pairs = pairs.join(cells.select(F.col("node").alias(end), *(F.col(c).alias(f"{s}_{c}") for c in ("lat", "lng", "ts"))), end)
+    pairs = pairs.select("a", "b", *(f"{s}_{c}" for s in "pq" for c in ("lat", "lng", "ts")))
+    return cut(pairs.mapInArrow(_jaccard(side, seconds), "a bigint, b bigint, jaccard double").where(F.col("jaccard") >= min_jaccard), "links")[0]
+
+
 def minhash_links(records: DataFrame, id_col: str, lat: str, lng: str, ts: str, metres: float, seconds: int, min_jaccard: float = 0.3, bands: int = 12, rows_a_band: int = 1) -> tuple[DataFrame, DataFrame]:
     """((a, b, jaccard), (node, id)): links between nodes whose sets have at least that Jaccard similarity, and the nodes.
 
@@ -283,26 +306,13 @@ def minhash_links(records: DataFrame, id_col: str, lat: str, lng: str, ts: str,
     and ``seconds`` within four rows, four columns and three spans.  MinHash over the sets gives ``bands`` keys; nodes with a
     key in common are candidates; the Jaccard similarity of every candidate is computed exactly from both sets.  At the
     default two records at the very limit share 0.4 of their cells or more and are candidates with a probability of 0.998, a
-    link at 0.3 with one of 0.986.  A key that very many nodes share can only come from one neighbourhood, which has at most as many
-    nodes as cells; pairs are made by an equi-join on the key, never within a list.
+    link at 0.3 with one of 0.986.  A key that very many nodes share can only come from one neighbourhood, which has at most
+    as many nodes as cells; pairs are made by an equi-join on the key, never within a list.
     """
-    pt = records.where(F.col(id_col).isNotNull() & F.col(ts).isNotNull() & has_place(lat, lng))
-    pt = pt.select(F.col(id_col).cast("bigint").alias("id"), F.col(lat).cast("double").alias("lat"), wrap_lng(F.col(lng).cast("double")).alias("lng"), F.col(ts).cast("bigint").alias("ts")).distinct()
-    side, span = math.degrees(metres / EARTH_M), seconds
-    row = F.floor((F.col("lat") + 90.0) / side)
-    around = F.greatest(F.floor(F.cos(F.radians(F.least(F.abs(row * side - 90.0), F.abs((row + 1) * side - 90.0), F.lit(90.0)))) * (360.0 / side)), F.lit(1))
-    cell = [row.alias("_r"), F.floor((F.col("lng") + 180.0) / 360.0 * around).alias("_c"), F.floor(F.col("ts") / span).alias("_t")]
-    cells = pt.select("*", *cell).groupBy("_r", "_c", "_t").agg(F.min("id").alias("node"), F.min_by("lat", "id").alias("lat"), F.min_by("lng", "id").alias("lng"), F.min_by("ts", "id").alias("ts"))
-    cells, at = cut(cells, "cells")
-    members = pt.select("id", *cell).distinct().join(cells.select("_r", "_c", "_t", "node"), ["_r", "_c", "_t"]).select("node", "id")
-    keys, keys_at = cut(cells.select("node", "lat", "lng", "ts").mapInArrow(_signatures(side, span, bands, rows_a_band), "key bigint, node bigint"), "bands")
-    p, q = keys.alias("p"), keys.alias("q")  # both sides are one shuffle
-    pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node"))).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-    for s, end in (("p", "a"), ("q", "b")):
-        pairs = pairs.join(cells.select(F.col("node").alias(end), *(F.col(c).alias(f"{s}_{c}") for c in ("lat", "lng", "ts"))), end)
-    links, _ = cut(pairs.select("a", "b", *(f"{s}_{c}" for s in "pq" for c in ("lat", "lng", "ts"))).mapInArrow(_jaccard(side, span), "a bigint, b bigint, jaccard double").where(F.col("jaccard") >= min_jaccard), "links")
-    release(records.sparkSession, keys_at)
-    return links, members
+    pt, cells, _ = _cells_of(records, id_col, lat, lng, ts, metres, seconds)
+    links = _links(cells, metres, seconds, min_jaccard, bands, rows_a_band)
+    keys = ["_r", "_c", "_t"]
+    return links, pt.select("id", *keys).distinct().join(cells.select("node", *keys), keys).select("node", "id")
 
 
 def split_around_medoids(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -352,10 +362,16 @@ def minhash_groups(records: DataFrame, id_col: str, lat: str, lng: str, ts: str,
     count once; an empty table gives none.  A pair at the limit may be missed (see ``minhash_links``): use ``close_clusters``
     where every chain must hold.
     """
-    links, members = minhash_links(records, id_col, lat, lng, ts, metres, seconds, min_jaccard, bands)
-    parted = split_around_medoids(links, members)
+    pt, cells, _ = _cells_of(records, id_col, lat, lng, ts, metres, seconds)
+    links = _links(cells, metres, seconds, min_jaccard, bands, 1)
+    linked = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    parted = split_around_medoids(links, linked)
     whole = connected_components(links.select("a", "b"), "groups")
-    named = parted.join(whole, "node", "left").select("node", "medoid", F.coalesce("component", "node").alias("component"))
-    each = members.join(named, "node").select("component", "medoid", "id").distinct()
+    # cells without a link are groups of their own; those with too few rows are left out before any record is shuffled
+    alone = cells.where(F.col("n") >= min_size).select("node").join(linked, "node", "left_anti").select("node", F.col("node").alias("medoid"), F.col("node").alias("component"))
+    named = parted.join(whole, "node").select("node", "medoid", "component").unionByName(alone)
+    keys = ["_r", "_c", "_t"]
+    named, _ = cut(cells.select("node", *keys).join(named, "node").select(*keys, "component", "medoid"), "named")
+    each = pt.select("id", *keys).join(F.broadcast(named) if at_most(named, 100_000) else named, keys).select("component", "medoid", "id").distinct()
     size = each.groupBy("medoid").agg(F.count("*").alias("size")).where(F.col("size") >= min_size)
     return each.join(size, "medoid").select("component", "medoid", "id", "size")
