@@ -34,6 +34,13 @@ def first_rows(df: DataFrame, order: list[Column], share: float) -> DataFrame:
     return ranked.crossJoin(F.broadcast(whole)).where("_pos <= _most").select(*df.columns)  # one row
 
 
+def top_lines(df: DataFrame, key: str, value: str, k: int, falling: bool = True) -> DataFrame:
+    """(pos, line): the first ``k`` rows by value, ties by key, as 'key value' in text; a take-ordered, no full sort."""
+    top = df.where(F.col(value).isNotNull()).orderBy(F.col(value).desc() if falling else F.col(value).asc(), F.col(key).asc()).limit(k)
+    at = F.row_number().over(Window.orderBy(F.col(value).desc() if falling else F.col(value).asc(), F.col(key).asc()))  # at most k rows
+    return top.select(at.cast("bigint").alias("pos"), F.concat_ws(" ", key, F.col(value).cast("string")).alias("line"))
+
+
 def strongest_first(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node): the nodes that a greedy choice keeps: taken by ``rank`` rising, a node is kept if no kept one is linked to it.
 

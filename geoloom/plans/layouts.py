@@ -10,9 +10,13 @@ from geoloom.functions import text as T
 from geoloom.operators import bins as B
 from geoloom.operators import phrasemodel as PM
 from geoloom.operators.graph import cooccurrence_edges
-from geoloom.plans.events import _M, _members
+from geoloom.operators import candidates as C
+from geoloom.operators.candidates import vectors
+from geoloom.operators.evaluate import balanced
+from geoloom.operators.ranking import top_lines
+from geoloom.plans.events import _KEPT, _M, _V, DIM, _members, _with_vectors, d23_prf1
 from geoloom.plans.phrases import _GRAMS, d27_frequent_ngrams
-from geoloom.plans.posts import _BINS, _GRAPH, PLACE, POST, TOK, _nodes, d1_word_counts
+from geoloom.plans.posts import _BINS, _GRAPH, CELL, PLACE, POST, TOK, _cell, _nodes, d1_word_counts
 from geoloom.sources import formats as L
 from geoloom.sources import posts as R
 from geoloom.sources.posts import posts
@@ -182,9 +186,72 @@ def a17_true_events(spark: SparkSession, sf: str) -> DataFrame:
     return L.true_events(L.parse_labels(lab))
 
 
+@query("SELECT candidate_id, label FROM candidate_labels WHERE candidate_id IS NOT NULL")
+def a16_label_file(spark: SparkSession, sf: str) -> DataFrame:
+    lab = table(spark, sf, "candidate_labels").where("candidate_id is not null").select(F.concat(F.col("candidate_id").cast("string"), F.lit("\t"), F.coalesce(F.col("label").cast("string"), F.lit(""))).alias("value"))
+    return L.parse_labels(lab)
+
+
+@query(f"WITH {_KEPT} SELECT candidate_id, count(*) AS size, least(count(*), 3) AS posts FROM kept GROUP BY candidate_id")
+def h47_candidate_descriptions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every candidate's size and the number of posts that describe it, from the description file."""
+    m = C.keep_nonzero(_with_vectors(spark, sf))
+    said = C.members(table(spark, sf, "candidates")).select("candidate_id", "tid", "message").distinct()
+    said = said.join(m.select("candidate_id", "tid"), ["candidate_id", "tid"], "left_semi")
+    lines = L.description_lines(C.top_members(m, DIM, 3), said)
+    d = lines.select(F.from_json("value", "candidate_id bigint, size bigint, posts array<string>").alias("d"))
+    return d.select("d.candidate_id", "d.size", F.size("d.posts").cast("bigint").alias("posts"))
+
+
+@query("""WITH f AS (SELECT DISTINCT candidate_id, st_unusualness FROM candidate_features WHERE st_unusualness IS NOT NULL AND NOT isnan(st_unusualness)), l AS (SELECT DISTINCT candidate_id, label FROM candidate_labels WHERE label IS NOT NULL),
+j AS (SELECT label, CASE WHEN st_unusualness < 0.2 THEN 1 ELSE 0 END AS p FROM f JOIN l USING (candidate_id)), c AS (SELECT sum(CASE WHEN p = 1 AND label = 1 THEN 1.0 ELSE 0 END)::DOUBLE AS tp, sum(CASE WHEN p = 1 AND label = 0 THEN 1.0 ELSE 0 END)::DOUBLE AS fp, sum(CASE WHEN p = 0 AND label = 1 THEN 1.0 ELSE 0 END)::DOUBLE AS fn FROM j)
+SELECT 'threshold' || chr(9) || printf('%.4f', tp / (tp + fp)) || chr(9) || printf('%.4f', tp / (tp + fn)) || chr(9) || printf('%.4f', 2 * tp / (2 * tp + fp + fn)) AS value FROM c""")
+def a31_metric_file(spark: SparkSession, sf: str) -> DataFrame:
+    return L.metric_lines(d23_prf1(spark, sf).withColumn("method", F.lit("threshold")))
+
+
+@query("SELECT label::INTEGER AS label, CASE WHEN label = 1 THEN count(*) ELSE least(count(*), (SELECT count(*) FROM (SELECT DISTINCT candidate_id, label FROM candidate_labels) WHERE label = 1)) END AS n FROM (SELECT DISTINCT candidate_id, label FROM candidate_labels) WHERE label IS NOT NULL GROUP BY label")
+def d36_balanced_classes(spark: SparkSession, sf: str) -> DataFrame:
+    lab = table(spark, sf, "candidate_labels").distinct()
+    return balanced(lab, "label", "candidate_id").groupBy("label").agg(F.count("*").alias("n"))
+
+
 # graph, vectors, words, phrases
 
 
+@query(f"WITH {_V} SELECT tid, round(x[1], 5) AS first, round(x[48], 5) AS last FROM v")
+def a18_window_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors and two coordinates in a window file, parsed again; the post's number stands for a coordinate."""
+    v = vectors(table(spark, sf, "post_embedding"), DIM, "spatial_embedding", "temporal_embedding", "textual_embedding")
+    w = L.parse_window(L.window_lines(v.select(F.col("textual_embedding").alias("vec"), F.col("tid").cast("decimal(20,0)").alias("lat"), F.lit(0.5).alias("lng"))), DIM)
+    return w.select(F.col("lat").cast("bigint").alias("tid"), F.round(F.get("vec", F.lit(0)), 5).alias("first"), F.round(F.get("vec", F.lit(47)), 5).alias("last"))
+
+
+@query("SELECT label::INTEGER AS cluster_id, count(*) AS n FROM embeddings GROUP BY label")
+def a13_membership_file(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").select(F.slice("embedding", 1, 3).alias("scores"), F.col("label").alias("cluster_id"))
+    return L.parse_membership(_lines(L.membership_lines(e))).groupBy("cluster_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {POST}, {PLACE} SELECT {CELL}::VARCHAR AS word, count(*) AS cnt FROM place GROUP BY 1")
+def a34_grid_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells and their posts written as counts and parsed again."""
+    c = posts(spark, sf, "lat", "lng", located=True).select(_cell().alias("cell")).groupBy("cell").agg(F.count("*").alias("cnt"))
+    return L.parse_counts(L.count_lines(c, "cell"))
+
+
+@query(f"WITH {POST}, {PLACE}, c AS (SELECT word, cell, count(DISTINCT tid) AS n FROM (SELECT tid, {CELL} AS cell, unnest(list_filter(string_split(words, ' '), lambda y: y <> '')) AS word FROM place) GROUP BY word, cell) SELECT word, cell, n FROM c")
+def d40_distribution_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word's distribution over cells, written as an object a word and read again."""
+    p = posts(spark, sf, "lat", "lng", "words", located=True).select("tid", _cell().alias("cell"), F.explode(tokens("words")).alias("word"))
+    return L.parse_distribution(L.distribution_lines(p.distinct().groupBy("word", "cell").agg(F.count("*").alias("n"))))
+
+
+@query(f"WITH {POST}, {TOK}, c AS (SELECT word, count(*) AS cnt FROM tok GROUP BY word) SELECT row_number() OVER (ORDER BY cnt DESC, word) AS pos, word || ' ' || cnt AS line FROM c ORDER BY cnt DESC, word LIMIT 20")
+def e19_top_words(spark: SparkSession, sf: str) -> DataFrame:
+    return top_lines(d1_word_counts(spark, sf), "word", "cnt", 20)
+
+
 @query(f"WITH {_GRAPH}, known AS (SELECT word FROM vocab) SELECT etype, u, v, weight::DOUBLE AS weight FROM edges WHERE etype = 'ww' AND u IN (SELECT word FROM known) AND v IN (SELECT word FROM known)")
 def a23_edge_file(spark: SparkSession, sf: str) -> DataFrame:
     """Word pairs written as an edge file and parsed again, edges with an unknown end left out."""

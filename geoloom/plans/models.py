@@ -15,16 +15,14 @@ from geoloom.operators import crossmodal as M
 from geoloom.operators import evaluate as E
 from geoloom.operators import mixture as V
 from geoloom.operators import phrasemodel as PM
-from geoloom.operators import phrases as P
 from geoloom.operators import quality as Q
 from geoloom.operators import wordvectors as W
-from geoloom.operators.ranking import positions
-from geoloom.plans.events import _COS, _E, _KEPT, _M, _V, DIM, _members, _with_vectors
-from geoloom.plans.phrases import _F, _GRAMS, _features, _records, d27_frequent_ngrams, h28_phrase_concordance
-from geoloom.plans.posts import _BINS, _CATS, PLACE, POST, TOK
+from geoloom.plans.events import _E, _M, DIM, _members, _with_vectors
+from geoloom.plans.phrases import _GRAMS, _records, d27_frequent_ngrams, h28_phrase_concordance
+from geoloom.plans.posts import _CATS, PLACE, POST
 from geoloom.sources.posts import post_tokens, posts
 from geoloom.sources.tables import table, tokens, wrap_lng
-from geoloom.storage import at_most, cut
+from geoloom.storage import cut
 
 QUERIES, ORACLES = {}, {}
 

@@ -203,6 +203,19 @@ def parse_counts(lines: DataFrame) -> DataFrame:
     return _text(lines).select(F.regexp_extract("value", "^(.*) ([0-9]+)$", 1).alias("word"), F.regexp_extract("value", "^(.*) ([0-9]+)$", 2).try_cast("bigint").alias("cnt")).where("cnt is not null")
 
 
+def distribution_lines(cells: DataFrame) -> DataFrame:
+    """One JSON object a word, {"word", "cells": {cell: n}}, from (word, cell, n); a word has at most as many entries as the
+    grid has cells."""
+    each = F.map_from_entries(F.collect_list(F.struct(F.col("cell").cast("string"), "n")))
+    return cells.groupBy("word").agg(each.alias("cells")).select(F.to_json(F.struct("word", "cells")).alias("value"))
+
+
+def parse_distribution(lines: DataFrame) -> DataFrame:
+    """(word, cell, n)."""
+    d = _text(lines).select(F.from_json("value", "word string, cells map<string, bigint>").alias("d"))
+    return d.select("d.word", F.explode("d.cells").alias("cell", "n")).withColumn("cell", F.col("cell").try_cast("bigint"))
+
+
 def phrase_lines(phrases: DataFrame, *numbers: str) -> DataFrame:
     """phrase and numbers, separated by commas."""
     return phrases.select(F.concat_ws(",", "phrase", *(F.col(c).cast("string") for c in numbers)).alias("value"))

@@ -5,7 +5,7 @@ it again: such a table outlives the loss of any executor.  The folder is the ses
 where that is unset and the session runs in one process (tests) a folder of our own is chosen.
 
 A written table is deleted by ``release`` as soon as no later step reads it, and at the latest when the application ends:
-its path is marked for deletion with the file system.
+the application's own folder is marked for deletion with the file system.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_MARKED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,10 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that goes with the application."""
-    path = f"{shared_dir(spark)}/geoloom/{name}-{uuid.uuid4().hex}"
-    where, files = file_system(spark, path)
-    files.deleteOnExit(where)
-    return path
+    base = f"{shared_dir(spark)}/geoloom/{spark.sparkContext.applicationId}"
+    if base not in _MARKED:
+        where, files = file_system(spark, base)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _MARKED.add(base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def file_system(spark: SparkSession, path: str):
