@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 #: Abbreviations that lead on to what follows.
 LEADING = (
-    "mr mrs ms messrs dr prof mt gen col sgt capt lt rev hon gov sen rep vs e.g i.e a.k.a cf approx resp viz "
+    "mr mrs ms messrs dr prof mt gen col sgt capt lt rev hon gov sen rep asst assoc vs e.g i.e a.k.a cf approx resp viz "
     "sr sra srta dra ud uds av avda ej p.ej ee m mm mme mlle mgr "
     "z b d h z.b d.h u.a bzw ca ggf vgl bspw evtl hr fr frl "
     "проф ул д г т к е т.к т.е т.д т.п стр рис им акад гр пр "
