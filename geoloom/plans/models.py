@@ -108,15 +108,22 @@ def h10_cross_modal_model(spark: SparkSession, sf: str) -> DataFrame:
 def h44_cross_modal_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     """(target, mrr, mean_rank): how well place, time and words are told from those of ten other posts by the other two."""
     p, m = _model(spark, sf)
-    v = m["vectors"]
-    times = m["times"]
+    v, times = m["vectors"], m["times"]
     day = p.withColumn("s", seconds_of_day(F.col("ts")).cast("double"))
+
+    def feature(kind: str, side: str) -> DataFrame:
+        if kind == "w":
+            f = M.word_features(p, "tid", "words", v, 16, side)
+        elif kind == "l":
+            f = M.centre_features(p, "tid", ["lat", "lng"], m["places"], v, "l", 16, 0.01, vector=side)
+        else:
+            f = M.centre_features(day, "tid", ["s"], times, v, "t", 16, 1000.0, vector=side)
+        return cut(f.withColumnRenamed("feature", kind), "features")[0]
+
+    made = {(kind, side): feature(kind, side) for kind in "lwt" for side in ("vec", "ctx")}
     out = None
-    for target in ("w", "l", "t"):
-        side = {k: M.side(k, target) for k in "lwt"}
-        f = M.centre_features(p, "tid", ["lat", "lng"], m["places"], v, "l", 16, 0.01, vector=side["l"]).withColumnRenamed("feature", "l")
-        f = f.join(M.centre_features(day, "tid", ["s"], times, v, "t", 16, 1000.0, vector=side["t"]).withColumnRenamed("feature", "t"), "tid")
-        f = f.join(M.word_features(p, "tid", "words", v, 16, side["w"]).withColumnRenamed("feature", "w"), "tid")
+    for target in "wlt":
+        f = made["l", M.side("l", target)].join(made["t", M.side("t", target)], "tid").join(made["w", M.side("w", target)], "tid")
         r = M.evaluate_predictions(f, "tid", target, [k for k in "lwt" if k != target])[1].select(F.lit(target).alias("target"), "mrr", "mean_rank")
         out = r if out is None else out.unionByName(r)
     return out
