@@ -25,10 +25,13 @@ def cooccurrence_edges(nodes: DataFrame, kinds: list[str] | None = None) -> Data
     # a word's number of positions: the array is short, and a post's rows stay where they are
     held = F.transform(F.array_distinct(sorted_words), lambda w: F.struct(F.lit("w").alias("k"), w.alias("x"), F.size(F.filter(sorted_words, lambda v: v == w)).cast("bigint").alias("n")))
     ends = nodes.select(F.concat(sides, held).alias("ends")).where(F.size("ends") > 1)
-    pairs = ends.select("ends", F.explode("ends").alias("p")).select("p", F.explode("ends").alias("q"))
-    etype = F.concat("p.k", "q.k")
-    pairs = pairs.where(etype.isin(kinds) & ((F.col("p.k") != F.col("q.k")) | (F.col("p.x") != F.col("q.x"))))
-    return pairs.groupBy(etype.alias("etype"), F.col("p.x").alias("u"), F.col("q.x").alias("v")).agg(F.sum(F.col("p.n") * F.col("q.n")).alias("weight"))
+    # the ends of a post always stand in one order, so a pair is counted once and turned round after the counting
+    pairs = ends.select("ends", F.posexplode("ends").alias("_i", "p")).select("p", F.explode(F.slice("ends", F.col("_i") + 2, F.size("ends"))).alias("q"))
+    wanted = F.concat("p.k", "q.k").isin(kinds) | F.concat("q.k", "p.k").isin(kinds)
+    once = pairs.where(wanted).groupBy(F.col("p.k").alias("j"), F.col("q.k").alias("k"), F.col("p.x").alias("x"), F.col("q.x").alias("y")).agg(F.sum(F.col("p.n") * F.col("q.n")).alias("weight"))
+    there, back = F.struct(F.concat("j", "k").alias("etype"), F.col("x").alias("u"), F.col("y").alias("v")), F.struct(F.concat("k", "j").alias("etype"), F.col("y").alias("u"), F.col("x").alias("v"))
+    both = F.filter(F.array(there, back), lambda e: e["etype"].isin(kinds))
+    return once.select(F.explode(both).alias("e"), "weight").select("e.etype", "e.u", "e.v", "weight")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
