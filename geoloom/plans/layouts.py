@@ -176,7 +176,9 @@ def a15_candidate_file(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT DISTINCT candidate_id, spatial_unusualness, temporal_unusualness, st_unusualness, lat_std, lng_std, time_std, semantic_std, spatial_burstiness FROM candidate_features WHERE candidate_id IS NOT NULL")
 def a30_feature_file(spark: SparkSession, sf: str) -> DataFrame:
-    return L.parse_features(L.feature_lines(table(spark, sf, "candidate_features").where("candidate_id is not null"))).distinct()
+    """Features in their file, parsed again; the rows are told apart by value, but keep the sign of a zero, which distinct drops."""
+    f = L.parse_features(L.feature_lines(table(spark, sf, "candidate_features").where("candidate_id is not null")))
+    return f.withColumn("_row", F.struct(*f.columns)).dropDuplicates(f.columns).select("_row.*")
 
 
 @query("SELECT DISTINCT candidate_id FROM candidate_labels WHERE label = 1")

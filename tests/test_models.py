@@ -413,6 +413,19 @@ def test_lines_round_trip(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "t"), sep="\t").count() == 2
 
 
+def test_feature_file_keeps_the_sign_of_zero(spark, tmp_path):
+    from geoloom.plans.layouts import a30_feature_file
+
+    st = [(1, -0.0), (1, -0.0), (2, 0.0), (3, math.nan), (3, math.nan), (4, None), (4, None), (5, -0.0), (5, 0.0), (None, 1.0)]
+    df = spark.createDataFrame([(i, *[x if c == "st_unusualness" else 0.5 for c in L.FEATURES]) for i, x in st], "candidate_id bigint, " + ", ".join(f"{c} double" for c in L.FEATURES))
+    df.write.parquet(str(tmp_path / "candidate_features.parquet"))
+    got = a30_feature_file(spark, str(tmp_path))
+    assert got.columns == ["candidate_id", *L.FEATURES]
+    rows = sorted((r.candidate_id, str(r.st_unusualness)) for r in got.collect())
+    assert rows[:4] == [(1, "-0.0"), (2, "0.0"), (3, "nan"), (4, "None")]
+    assert len(rows) == 5 and rows[4][1] in ("0.0", "-0.0")  # equal values are one row, whichever sign
+
+
 def test_settings():
     assert settings.settings("la")["dim"] == 100 and settings.settings("toy", "dim: 7 # x\nroot: &r /data\nfile: !join [*root, /posts.txt]\non: true", epochs=3) | {"sampler": 0} == {
         "dim": 7, "epochs": 3, "negative": 1, "queries": 2, "reference": 4, "bins": 6, "sampler": 0, "root": "/data", "file": "/data/posts.txt", "on": True,
