@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.operators import native
 from geoloom.storage import cut, release
 
 
@@ -84,24 +85,32 @@ def log_bessel(order: float, x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _bessel_table(dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """ln I_nu(x) - x + ln(x) / 2 on a grid of ln x, with its steps: smooth, so a straight line between points is accurate
-    to 1e-6."""
+def _bessel_table(dim: int) -> np.ndarray:
+    """ln I_nu(x) - x + ln(x) / 2 between the points of a grid of ln x, four coefficients each of a cubic: smooth, so that is
+    accurate to 1e-6, and small enough to stay in a core's own cache."""
     x = np.exp(np.linspace(_LOW, _TOP, _POINTS))
-    g = np.concatenate([log_bessel(dim / 2 - 1, part) - part + 0.5 * np.log(part) for part in np.array_split(x, 64)])
-    return g, np.diff(g, append=g[-1])
+    g = np.concatenate([log_bessel(dim / 2 - 1, part) - part + 0.5 * np.log(part) for part in np.array_split(x, 8)])
+    slope = np.gradient(g, edge_order=2)
+    slope[2:-2] = (8 * (g[3:-1] - g[1:-3]) - (g[4:] - g[:-4])) / 12
+    up = np.diff(g)
+    return np.stack([g[:-1], slope[:-1], 3 * up - 2 * slope[:-1] - slope[1:], slope[:-1] + slope[1:] - 2 * up], 1)
 
 
-_LOW, _TOP, _POINTS = math.log(1e-8), math.log(1e10), 1 << 17
+_LOW, _TOP, _POINTS = math.log(1e-8), math.log(1e10), 4097
+
+
+def _grid(dim: int) -> list[float]:
+    """The table's start and points a unit of ln x, and what of the norm is fixed, for the compiled loops."""
+    return [_LOW, (_POINTS - 1) / (_TOP - _LOW), dim / 2 * math.log(2 * math.pi)]
 
 
 def log_norm_by_table(kappa: np.ndarray, dim: int) -> np.ndarray:
     """``log_norm`` from a table made once a process; what a sampler calls for every row."""
-    g, step = _bessel_table(dim)
     lk = np.log(np.maximum(kappa, 1e-8))
     at = (lk - _LOW) * ((_POINTS - 1) / (_TOP - _LOW))
     i = at.astype(np.int64)
-    return (dim / 2 - 0.5) * lk - kappa - (g[i] + (at - i) * step[i]) - dim / 2 * math.log(2 * math.pi)
+    c, t = _bessel_table(dim)[i].T, at - i
+    return (dim / 2 - 0.5) * lk - kappa - (c[0] + t * (c[1] + t * (c[2] + t * c[3]))) - dim / 2 * math.log(2 * math.pi)
 
 
 def log_norm(kappa: np.ndarray, dim: int) -> np.ndarray:
@@ -179,11 +188,17 @@ class Mixture:
         return np.stack([self.place[2], self.place[3], self.place[3], self.place[4]], 1).reshape(-1, 2, 2)
 
     def put(self, x: np.ndarray, d: np.ndarray, k: int, sign: int = 1) -> None:
-        """A row enters (sign 1) or leaves (sign -1) a cluster; one undoes the other (see ``add_point``)."""
+        """A row enters (sign 1) or leaves (sign -1) a cluster; one undoes the other (see ``add_point``).  A cluster that is
+        left empty has the prior's statistics again, without what rounding leaves behind."""
         s, n = self.s[k], float(self.count[k])
-        s += sign * x
+        gone = n + sign < 0.01
+        if gone:
+            s[:] = self.prior
+            self.place[:, k] = (0.0, 0.0, self.p.delta0, 0.0, self.p.delta0)
+        else:
+            s += sign * x
         self.length2[k] = s @ s
-        if self.p.places:
+        if self.p.places and not gone:
             y, z, xx, xy, yy = self.place[:, k].tolist()
             a, b = float(d[0]), float(d[1])
             held = self.p.lambda0 + n
@@ -216,8 +231,34 @@ class Mixture:
         q = np.cumsum(np.exp(lp - lp.max()))
         return min(int(np.searchsorted(q, self.rng.random() * q[-1])), h - 1)
 
+    def _native(self, mode: int, x: np.ndarray, d: np.ndarray, z: np.ndarray, sweeps: int = 1, walk: bool = False) -> bool:
+        """The compiled loops: rows out, drawn and in (mode 0), drawn and in (1), in (2) or out (3), ``sweeps`` times, every
+        time with ``move_kappa`` if ``walk``.  False, and nothing done, where they don't run."""
+        if not native.running():
+            return False
+        p = self.p
+        native.use_table(self.dim, _grid(self.dim), _bessel_table(self.dim))
+        low, high = (math.log(p.kappa_low), math.log(p.kappa_high)) if p.log_walk else (p.kappa_low, p.kappa_high)
+        steps = p.kappa_steps if walk else 0
+        native.send(
+            np.array([1, p.clusters, self.dim, len(x), mode, p.places, sweeps, steps, p.log_walk, p.alpha, p.lambda0, p.nu0, p.virtual, p.delta0, p.c0, p.step, low, high, 0, 0], dtype=float),
+            self.prior, self.s, self.length2, self.kappa, self.count, self.place, self.own, self.weight, x, d if p.places else np.zeros(0), z,
+        )
+        for _ in range(sweeps):
+            if mode < 2:
+                native.send(self.rng.random(len(x)))
+            if steps:
+                native.send(self.rng.standard_normal((steps, p.clusters)), self.rng.standard_exponential((steps, p.clusters)))
+        h = p.clusters
+        s, self.length2, self.kappa, self.count, place, self.own, self.weight, drawn = native.receive(h * self.dim, h, h, h, 5 * h, h, h, len(x))
+        self.s, self.place, self.nonempty = s.reshape(h, self.dim), place.reshape(5, h), int((self.count >= 0.01).sum())
+        z[:] = drawn
+        return True
+
     def sweep(self, x: np.ndarray, d: np.ndarray, z: np.ndarray, first: bool = False) -> None:
         """One pass over rows in clusters z (changed in place); with ``first`` the rows are in no cluster yet."""
+        if self._native(int(first), x, d, z):
+            return
         log_c = log_norm_by_table(self.kappa, self.dim)
         for i in range(len(x)):
             if not first:
@@ -228,36 +269,47 @@ class Mixture:
     def move_kappa(self) -> None:
         p, length = self.p, np.sqrt(self.length2)
         low, high = (math.log(p.kappa_low), math.log(p.kappa_high)) if p.log_walk else (p.kappa_low, p.kappa_high)
-        for _ in range(p.kappa_steps):
-            now = np.log(self.kappa) if p.log_walk else self.kappa
-            new = now + p.step * self.rng.standard_normal(p.clusters)
+        # a step is taken if ln of a uniform number, which is minus an exponential one, is below the gain
+        steps, bars = self.rng.standard_normal((p.kappa_steps, p.clusters)), self.rng.standard_exponential((p.kappa_steps, p.clusters))
+        now, value = np.log(self.kappa) if p.log_walk else self.kappa, kappa_log_posterior(self.kappa, self.count, length, self.dim, p.c0)
+        for normal, bar in zip(steps, bars):
+            new = now + p.step * normal
             new = np.clip(np.where(new < low, 2 * low - new, np.where(new > high, 2 * high - new, new)), low, high)
-            new = np.exp(new) if p.log_walk else new
-            gain = kappa_log_posterior(new, self.count, length, self.dim, p.c0) - kappa_log_posterior(self.kappa, self.count, length, self.dim, p.c0)
-            self.kappa = np.where(np.log(self.rng.random(p.clusters)) < gain, new, self.kappa)
+            kappa = np.exp(new) if p.log_walk else new
+            worth = kappa_log_posterior(kappa, self.count, length, self.dim, p.c0)
+            yes = -bar < worth - value
+            now, value, self.kappa = np.where(yes, new, now), np.where(yes, worth, value), np.where(yes, kappa, self.kappa)
+
+    def sweep_all(self, x: np.ndarray, d: np.ndarray, z: np.ndarray, sweeps: int) -> None:
+        """Sweeps over rows in clusters z, kappa moving after each."""
+        if not self._native(0, x, d, z, sweeps, walk=True):
+            for _ in range(sweeps):
+                self.sweep(x, d, z)
+                self.move_kappa()
+
+    def put_batch(self, x: np.ndarray, d: np.ndarray, z: np.ndarray) -> None:
+        if not self._native(2, x, d, z):
+            for i in range(len(x)):
+                self.put(x[i], d[i], z[i])
 
     def first_fit(self, x: np.ndarray, d: np.ndarray) -> np.ndarray:
         """Random start, then all sweeps."""
         z = self.rng.integers(0, self.p.clusters, len(x))
-        for i in range(len(x)):
-            self.put(x[i], d[i], z[i])
-        for _ in range(self.p.sweeps):
-            self.sweep(x, d, z)
-            self.move_kappa()
+        self.put_batch(x, d, z)
+        self.sweep_all(x, d, z, self.p.sweeps)
         return z
 
     def add_batch(self, x: np.ndarray, d: np.ndarray) -> np.ndarray:
         """New rows: each is drawn in turn, then the sweeps go over them only."""
         z = np.zeros(len(x), dtype=np.int64)
         self.sweep(x, d, z, first=True)
-        for _ in range(self.p.sweeps):
-            self.sweep(x, d, z)
-            self.move_kappa()
+        self.sweep_all(x, d, z, self.p.sweeps)
         return z
 
     def remove_batch(self, x: np.ndarray, d: np.ndarray, z: np.ndarray) -> None:
-        for i in range(len(x)):
-            self.put(x[i], d[i], z[i], -1)
+        if not self._native(3, x, d, z):
+            for i in range(len(x)):
+                self.put(x[i], d[i], z[i], -1)
 
     def directions(self) -> np.ndarray:
         return self.s / np.linalg.norm(self.s, axis=1, keepdims=True)
@@ -275,9 +327,12 @@ class Mixture:
         return out
 
     def log_likelihood(self, x: np.ndarray, d: np.ndarray) -> float:
-        s = self.scores(x, d)
-        top = s.max(1, keepdims=True)
-        return float((top[:, 0] + np.log(np.exp(s - top).sum(1))).sum())
+        total = 0.0
+        for i in range(0, len(x), 4096):  # rows * clusters numbers at a time
+            s = self.scores(x[i : i + 4096], d[i : i + 4096])
+            top = s.max(1, keepdims=True)
+            total += float((top[:, 0] + np.log(np.exp(s - top).sum(1))).sum())
+        return total
 
 
 def hard(scores: np.ndarray) -> np.ndarray:
@@ -313,7 +368,10 @@ def cluster_windows(df: DataFrame, window: str, clusters: int = 200, sweeps: int
     kind = dict(df.dtypes)[window]
     schema = f"{window} {kind}, tid bigint, cluster_id int" + (", scores array<double>" if scores else "")
 
+    code = native.compiled(df.sparkSession)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        native.ready(code)
         pdf = pdf.sort_values("tid", ignore_index=True)
         x, d = _unit(pdf["vec"]), _zscored(pdf)
         m = Mixture(p, x.shape[1], seed_of(pdf[window].iloc[0], seed))
@@ -372,10 +430,12 @@ def _shared_sweeps(rows: DataFrame, window: str, kind: str, p: Params, seed: int
         m.refresh()
         return m
 
+    code = native.compiled(spark)
     stats = _statistics(now, window, dim).toPandas()  # bounded: clusters rows for each window that is too large for a task
 
     def sweep_of(by: dict, before: dict, turn: int):
         def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            native.ready(code)
             pdf = pdf.sort_values("tid", ignore_index=True)
             key = pdf[window].iloc[0]
             m = state(by[key], key, turn, int(pdf["shard"].iloc[0]), before)
@@ -435,36 +495,46 @@ def slide_windows(df: DataFrame, stream: str, width: int = 6, params: Params = P
     """(stream, bin_id, tid, cluster_id): for every bin from the ``width``-th on, the rows of the last ``width`` bins.
 
     Rows: stream, bin_id, tid, vec (not zero) and lat, lng, z-scored already (bins come one by one, so nothing is scaled
-    here).  A stream is a chain: one task reads its rows in order of bin and holds ``width`` bins at a time.
+    here).  A row with a null vec only says that there is such a bin, which has a window even if it has no rows itself.
+    A stream is a chain: one task reads its rows in order of bin and holds ``width`` bins at a time.
     """
     kind = dict(df.dtypes)[stream]
+    code = native.compiled(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held, window = None, [], None
+        native.ready(code)
+        at, held, window, before = None, [], None, []
 
-        def close() -> pd.DataFrame | None:
-            nonlocal window
+        def close() -> Iterator[pd.DataFrame]:
+            nonlocal window, before
             rows = pd.concat(held, ignore_index=True)
-            x = _unit(rows["vec"])
+            rows = rows[rows["vec"].notna()]
+            if window is None and not len(rows):  # the vectors' length isn't known yet
+                before.append(int(at[1]))
+                return
+            x = _unit(rows["vec"]) if len(rows) else np.zeros((0, window.model.dim))
             if window is None:
                 window = Sliding(params, x.shape[1], width, seed_of(at[0], seed))
-            got = window.step(int(at[1]), rows["tid"].to_numpy(), x, rows[["lat", "lng"]].to_numpy(dtype=float))
-            return None if got is None else got.assign(**{stream: at[0]})[[stream, "bin_id", "tid", "cluster_id"]]
+                for b in before[-width:]:  # more bins without rows would change nothing
+                    window.step(b, np.zeros(0, np.int64), x[:0], np.zeros((0, 2)))
+                before = []
+            got = window.step(int(at[1]), rows["tid"].to_numpy(dtype=np.int64), x, rows[["lat", "lng"]].to_numpy(dtype=float))
+            if got is not None:
+                yield got.assign(**{stream: at[0]})[[stream, "bin_id", "tid", "cluster_id"]]
 
         for batch in batches:
             for key, part in batch.groupby([stream, "bin_id"], sort=True):
                 if at is not None and key != at:
-                    if (out := close()) is not None:
-                        yield out
+                    yield from close()
                     held = []
                     if key[0] != at[0]:
-                        window = None
+                        window, before = None, []
                 at = key
                 held.append(part)
-        if held and (out := close()) is not None:
-            yield out
+        if held:
+            yield from close()
 
-    rows = df.select(stream, "bin_id", "tid", "lat", "lng", "vec").repartition(stream).sortWithinPartitions(stream, "bin_id", "tid")
+    rows = df.select(stream, "bin_id", "tid", "lat", "lng", "vec").repartitionByRange(stream).sortWithinPartitions(stream, "bin_id", "tid")
     return rows.mapInPandas(run, f"{stream} {kind}, bin_id bigint, tid bigint, cluster_id int")
 
 
@@ -472,16 +542,17 @@ def batch_mixture(df: DataFrame, group: str, params: Params = PRESETS["batch"],
     """(group, sweep, log_likelihood, clusters): the trace of a text-only fit of every group (group, tid, vec), one task each."""
     kind = dict(df.dtypes)[group]
 
+    code = native.compiled(df.sparkSession)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        native.ready(code)
         x = _unit(pdf.sort_values("tid")["vec"])
         d, m = np.zeros((len(x), 2)), Mixture(replace(params, places=False), x.shape[1], seed_of(pdf[group].iloc[0], seed))
         z = m.rng.integers(0, params.clusters, len(x))
-        for i in range(len(x)):
-            m.put(x[i], d[i], z[i])
+        m.put_batch(x, d, z)
         trace = []
         for sweep in range(params.sweeps):
-            m.sweep(x, d, z)
-            m.move_kappa()
+            m.sweep_all(x, d, z, 1)
             trace.append((pdf[group].iloc[0], sweep, m.log_likelihood(x, d), int((m.count > 0).sum())))
         return pd.DataFrame(trace, columns=[group, "sweep", "log_likelihood", "clusters"])
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from geoloom.operators import native
 from geoloom.operators.mixture import Params, Sliding, _unit, seed_of
 
 
@@ -19,8 +20,10 @@ def stream_mixture(binned: DataFrame, stream: str, width: int = 6, params: Param
     behind a watermark.  State per stream: the sampler (its statistics), the rows of its ``width`` bins and of the open bin.
     """
     kind = dict(binned.dtypes)[stream]
+    code = native.compiled(binned.sparkSession)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        native.ready(code)
         window, open_bin, held, last = pickle.loads(bytes(state.get[0])) if state.exists else (None, None, [], None)
         rows = pd.concat(list(batches))
         for bin_id, part in rows.groupby("bin_id", sort=True):
