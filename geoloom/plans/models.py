@@ -49,17 +49,29 @@ def d34_cluster_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("candidate_id", "n", *(F.round(c, 5).alias(c) for c in ("mean_y", "mean_x")), *(F.round(c, 2).alias(c) for c in ("yy", "yx", "xx")))
 
 
-def _binned_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Posts with a place, a time and a text vector: bin, coordinates scaled over all of them; one stream."""
+def _streams(binned: DataFrame, width: int, length: int = 336) -> DataFrame:
+    """Binned rows with their stream, ``length`` bins each.  A stream has the ``width`` - 1 bins before its own too, so that
+    its first window ends at its own first bin and every bin from the ``width``-th on has a window."""
+    s = F.floor(F.col("bin_id") / length)
+    return binned.withColumn("stream", F.explode(F.when(F.col("bin_id") % length > length - width, F.array(s, s + 1)).otherwise(F.array(s))))
+
+
+def _binned_vectors(spark: SparkSession, sf: str, width: int = 6) -> DataFrame:
+    """Posts with a place, a time and a text vector: bin, coordinates scaled over all of them; and a row without a vector for
+    bins that have other posts.  A week of bins is a stream."""
     p = posts(spark, sf, "lat", "lng", "ts", located=True).where("ts is not null").select("tid", "lat", wrap_lng(F.col("lng")).alias("lng"), "ts")
     v = C.vectors(table(spark, sf, "post_embedding"), DIM, "textual_embedding").where((F.array_max("textual_embedding") > 0) | (F.array_min("textual_embedding") < 0))
-    b = B.anchored_bins(p).join(v.withColumnRenamed("textual_embedding", "vec"), "tid")
-    return Q.zscore(b, ["lat", "lng"]).select(F.floor(F.col("bin_id") / 336).alias("stream"), "bin_id", "tid", F.col("z_lat").alias("lat"), F.col("z_lng").alias("lng"), "vec").na.fill(0.0, ["lat", "lng"])
+    b = B.anchored_bins(p).join(v.withColumnRenamed("textual_embedding", "vec"), "tid", "left")
+    b, _ = cut(b.select("bin_id", "tid", "lat", "lng", "vec"), "binned")
+    rows = Q.zscore(b.where("vec is not null"), ["lat", "lng"]).select("bin_id", "tid", F.col("z_lat").alias("lat"), F.col("z_lng").alias("lng"), "vec").na.fill(0.0, ["lat", "lng"])
+    empty = b.where("vec is null").groupBy("bin_id").agg(F.min("tid").alias("tid")).select("bin_id", "tid", F.lit(0.0).alias("lat"), F.lit(0.0).alias("lng"), F.lit(None).cast(dict(b.dtypes)["vec"]).alias("vec"))
+    return _streams(rows.unionByName(empty), width)
 
 
 @query()
 def f3_sliding_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    """Clusters of the last six bins at every bin: the oldest bin leaves the sampler, the new one enters; a week is a stream."""
+    """Clusters of the last six bins at every bin: the oldest bin leaves the sampler, the new one enters; a week is a stream, which
+    begins with a fit of the window that ends at its first bin."""
     return V.slide_windows(_binned_vectors(spark, sf), "stream", 6, V.PRESETS["toy"])
 
 

@@ -128,6 +128,42 @@ def test_window_slides(spark):
     assert mixture.slide_windows(df.where("bin_id < 2"), "q", 3, p).isEmpty()
 
 
+def test_every_bin_has_its_window(spark):
+    from geoloom.plans.models import _streams
+
+    rows = [(b, b * 10_000 + t, y, x, v) for b in range(10) if b not in (0, 5) for _, t, y, x, v in groups(3)] + [(b, b, 0.0, 0.0, None) for b in (0, 5)]
+    df = _streams(spark.createDataFrame(rows, "bin_id bigint, tid bigint, lat double, lng double, vec array<double>"), 3, 4)
+    got = mixture.slide_windows(df, "stream", 3, mixture.Params(clusters=6, sweeps=3)).collect()
+    assert len({(r.bin_id, r.tid) for r in got}) == len(got) and all(r.stream == r.bin_id // 4 for r in got)
+    for b in range(10):
+        want = {k for k in range(b - 2, b + 1) if k not in (0, 5)} if b >= 2 else set()
+        assert {r.tid // 10_000 for r in got if r.bin_id == b} == want
+        assert sum(r.bin_id == b for r in got) == 9 * len(want)
+
+
+def test_compiled_loops_draw_the_same(spark):
+    from geoloom.operators import native
+
+    rows = groups(20)
+    x, d = np.array([r[4] for r in rows]), np.array([r[2:4] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    code = native.compiled(spark)
+    assert code
+    for p in (mixture.Params(clusters=9, sweeps=4), mixture.Params(clusters=9, sweeps=4, places=False, kappa_low=0.5, log_walk=True, step=0.1)):
+        found = []
+        for compiled in (True, False):
+            if compiled:
+                native.ready(code)
+            assert native.running() == compiled
+            m = mixture.Mixture(p, x.shape[1], 5)
+            z = m.first_fit(x, d)
+            z = np.r_[z, m.add_batch(x[:20], d[:20])]
+            m.remove_batch(x[:10], d[:10], z[:10])
+            found.append((z, m.s, m.kappa, m.count, m.place, m.own, m.weight, m.length2, m.nonempty))
+            native.stop()
+        assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(*found))
+
+
 def test_batch_and_em_raise_the_likelihood(spark):
     df = spark.createDataFrame(groups(25), "q int, tid bigint, lat double, lng double, vec array<double>")
     t = sorted((r.sweep, r.log_likelihood) for r in mixture.batch_mixture(df, "q", mixture.Params(clusters=5, sweeps=10, places=False)).collect())
