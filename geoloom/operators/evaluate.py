@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.storage import at_most
+from geoloom.storage import at_most, cut, release
 
 
 def mid_rank(scores: DataFrame, case: str, score: str, is_truth: str) -> DataFrame:
@@ -61,13 +61,14 @@ def event_classifier(df: DataFrame, features: list[str], label: str, key: str, k
     return out.select(key, label, F.col("prediction").cast("int").alias("predicted"), vector_to_array("probability")[1].alias("probability"))
 
 
-def repeated_classifier(df: DataFrame, features: list[str], label: str, key: str, repeats: int = 100, keep: int = 5, rounds: int = 30, ridge: float = 1.0, most: int = 50_000, seed: int = 0) -> DataFrame:
+def repeated_classifier(df: DataFrame, features: list[str], label: str, key: str, repeats: int = 100, keep: int = 5, rounds: int = 30, ridge: float = 1.0, most: int | None = None, local: int = 50_000, seed: int = 0) -> DataFrame:
     """(repeat, precision, recall, f1) of class 1, one row a repeat; ``mean_metrics`` averages them.
 
     A repeat draws as many rows of class 0 as there are of class 1, halves them by a seeded hash, scales by the training
     half, drops the feature with the smallest weight until ``keep`` are left, and fits a logistic regression (Newton steps
-    with a ridge) on what is left.  Rows with a null or no number in a feature or the label take no part.  The labelled
-    rows, a given set of at most ``most`` (checked), go to every task; repeats are spread over the cluster.
+    with a ridge) on what is left.  Rows with a null or no number in a feature or the label take no part.  Up to ``local``
+    labelled rows (counted) go to every task and repeats are spread over the cluster; more stay where they are, and every
+    Newton step of all repeats is one pass over them, with the same draws.  More than ``most`` raise, where that is given.
     """
     import numpy as np
     import pandas as pd
@@ -76,9 +77,11 @@ def repeated_classifier(df: DataFrame, features: list[str], label: str, key: str
     for c in features:
         rows = rows.where(~F.isnan(c))
     rows = rows.distinct()
-    if not at_most(rows, most):
+    if most is not None and not at_most(rows, most):
         raise ValueError(f"more than {most} labelled rows; give a sample of them")
-    given = rows.orderBy(key).toPandas()  # at most ``most`` rows
+    if not at_most(rows, local):
+        return _classifier_by_passes(rows, features, key, repeats, keep, rounds, ridge, seed)
+    given = rows.orderBy(key, *features).toPandas()  # at most ``local`` rows
     x, y = given[features].to_numpy(dtype=float), given["_y"].to_numpy()
 
     def logistic(a: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -120,6 +123,104 @@ def repeated_classifier(df: DataFrame, features: list[str], label: str, key: str
     return df.sparkSession.range(repeats).repartition(min(repeats, 100)).mapInPandas(run, schema).replace(float("nan"), None)
 
 
+def _classifier_by_passes(rows: DataFrame, features: list[str], key: str, repeats: int, keep: int, rounds: int, ridge: float, seed: int) -> DataFrame:
+    """``repeated_classifier`` over rows (key, _y, features) that no task holds as a whole.  Rows are numbered by key in their
+    class, a task draws for its own rows from the numbers alone (memory: a number a row), and what a pass brings to the
+    driver is a few sums a repeat."""
+    import numpy as np
+    import pandas as pd
+
+    from geoloom.operators.ranking import positions
+
+    spark, f = rows.sparkSession, len(features)
+    numbered, at = cut(positions(rows, [F.col(key).asc(), *(F.col(c).asc() for c in features)], by="_y", name="_no"), "labelled")
+    size = {r["_y"]: r["n"] for r in numbered.groupBy("_y").agg(F.count("*").alias("n")).collect()}  # two rows
+    ones, zeros = size.get(1, 0), size.get(0, 0)
+    total = ones + min(ones, zeros)
+    schema = "repeat bigint, precision double, recall double, f1 double"
+    if total // 2 == 0:
+        return spark.createDataFrame([(r, None, None, None) for r in range(repeats)], schema)
+
+    def draw(batches):
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        pdf = pd.concat(held, ignore_index=True)
+        one, no = pdf["_y"].to_numpy() == 1, pdf["_no"].to_numpy(dtype=np.int64) - 1
+        part = np.zeros((len(pdf), repeats), np.uint8)  # 1: training half, 2: the other half
+        for r in range(repeats):
+            rng = np.random.default_rng(seed * 1_000_003 + r)
+            place = np.full(zeros, -1)
+            place[rng.permutation(zeros)[:ones]] = np.arange(ones, total)
+            order = np.empty(total, np.int64)
+            order[rng.permutation(total)] = np.arange(total)
+            where = np.where(one, no, -1)
+            where[~one] = place[no[~one]]
+            part[where >= 0, r] = np.where(order[where[where >= 0]] < total // 2, 1, 2)
+        yield pdf[["_y", *features]].assign(part=[p.tobytes() for p in part])
+
+    drawn, drawn_at = cut(numbered.mapInPandas(draw, "_y int, " + ", ".join(f"`{c}` double" for c in features) + ", part binary"), "drawn")
+    release(spark, at)
+
+    def sums(half: int, width: int, each) -> np.ndarray:
+        """One pass: what ``each`` (repeat, rows' features, labels) adds up to over the rows of a half, a row a repeat."""
+
+        def add(batches):
+            out = np.zeros((repeats, width))
+            for pdf in batches:
+                x, y = pdf[features].to_numpy(dtype=float), pdf["_y"].to_numpy(dtype=float)
+                part = np.frombuffer(b"".join(pdf["part"]), np.uint8).reshape(len(pdf), repeats)
+                for r in range(repeats):
+                    i = part[:, r] == half
+                    out[r] += each(r, x[i], y[i])
+            yield pd.DataFrame({"r": range(repeats), "s": list(out)})
+
+        got = drawn.mapInPandas(add, "r int, s array<double>").groupBy("r").agg(F.array(*(F.sum(F.col("s")[i]) for i in range(width))).alias("s"))
+        return np.array([r.s for r in got.orderBy("r").collect()])  # ``repeats`` rows
+
+    mean = sums(1, f, lambda r, x, y: x.sum(0)) / (total // 2)
+    sd = np.sqrt(sums(1, f, lambda r, x, y: ((x - mean[r]) ** 2).sum(0)) / (total // 2))
+    sd = np.where(sd > 0, sd, 1)
+    use = [list(range(f)) for _ in range(repeats)]
+
+    def scaled(r: int, x: np.ndarray, use) -> np.ndarray:
+        return np.c_[((x - mean[r]) / sd[r])[:, use[r]], np.ones(len(x))]
+
+    while True:
+        n = len(use[0]) + 1
+        w, open_ = np.zeros((repeats, n)), np.ones(repeats, bool)
+        penalty = np.diag([ridge] * (n - 1) + [1e-9])
+        for _ in range(rounds):
+
+            def newton(r: int, x: np.ndarray, y: np.ndarray, w=w.copy(), open_=open_.copy(), use=use) -> np.ndarray:
+                if not open_[r]:
+                    return np.zeros(n * n + n)
+                a = scaled(r, x, use)
+                q = 1 / (1 + np.exp(-np.clip(a @ w[r], -30, 30)))
+                return np.r_[((a * (q * (1 - q))[:, None]).T @ a).ravel(), a.T @ (y - q)]
+
+            got = sums(1, n * n + n, newton)
+            for r in np.flatnonzero(open_):
+                step = np.linalg.solve(got[r, : n * n].reshape(n, n) + penalty, got[r, n * n :] - penalty @ w[r])
+                w[r] += step
+                open_[r] = np.abs(step).max() >= 1e-10
+            if not open_.any():
+                break
+        if len(use[0]) <= keep:
+            break
+        use = [[c for i, c in enumerate(u) if i != int(np.abs(w[r][:-1]).argmin())] for r, u in enumerate(use)]
+
+    def counts(r: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        said = scaled(r, x, use) @ w[r] > 0
+        return np.array([(said & (y == 1)).sum(), (said & (y == 0)).sum(), (~said & (y == 1)).sum()])
+
+    out = []
+    for r, (tp, fp, fn) in enumerate(sums(2, 3, counts)):
+        out.append((r, *(float(tp / d) if d else None for d in (tp + fp, tp + fn)), float(2 * tp / (2 * tp + fp + fn)) if tp + fp + fn else None))
+    release(spark, drawn_at)
+    return spark.createDataFrame(out, schema)
+
+
 def mean_metrics(repeats: DataFrame, method: str) -> DataFrame:
     """(method, precision, recall, f1): the means over all repeats that have a value."""
     return repeats.agg(*(F.avg(c).alias(c) for c in ("precision", "recall", "f1"))).select(F.lit(method).alias("method"), "precision", "recall", "f1")

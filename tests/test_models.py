@@ -399,6 +399,18 @@ def test_repeated_classifier(spark):
     assert {r.section: (r.asked, r.answered, r.right) for r in a.collect()} == {"1": (2, 1, 1), "6": (1, 1, 0), "semantic": (2, 1, 1), "syntactic": (1, 1, 0), "all": (3, 2, 1)}
 
 
+def test_repeated_classifier_of_many_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(i % 4 == 0), *(float(rng.standard_normal() + (i % 4 == 0) * m) for m in (0.2, 1.0, 0.5))) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, y int, a double, b double, c double").repartition(3)
+    near, far = (sorted(evaluate.repeated_classifier(df, ["a", "b", "c"], "y", "k", repeats=5, keep=2, local=n).collect()) for n in (300, 299))
+    assert len(near) == 5 and all(a == pytest.approx(b) for a, b in zip(near, far))
+    none = evaluate.repeated_classifier(df.where("y = 0"), ["a"], "y", "k", repeats=2, local=1).collect()
+    assert len(none) == 2 and all(r.f1 is None for r in none)
+    bare = spark.range(50_001).selectExpr("id as k", "if(id < 60, 1, 0) as y", "double(id % 7) as a")
+    assert evaluate.repeated_classifier(bare, ["a"], "y", "k", repeats=2).count() == 2
+
+
 def test_word_vector_queries(spark):
     v = spark.createDataFrame([("man", [1.0, 0.0]), ("king", [1.0, 1.0]), ("woman", [0.0, 0.1]), ("queen", [0.0, 1.0]), ("x", [-1.0, 0.0])], "word string, vec array<double>")
     q = spark.createDataFrame([(1, "man", "king", "woman", "queen"), (1, "man", "king", "nobody", "queen")], "section int, a string, b string, c string, d string")
