@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,14 +13,16 @@ from geoloom.operators.ranking import positions, strongest_first
 from geoloom.storage import at_most, cut
 
 
-def nearest_centre(points: DataFrame, centres: DataFrame, value: list[str], limit: int = 100_000) -> DataFrame:
+def nearest_centre(points: DataFrame, centres: DataFrame, value: list[str], limit: int | None = None, broadcast: int = 100_000) -> DataFrame:
     """Points with the id of their nearest centre by planar distance, ties by id; null where there are no centres.
 
     Centres are laid on grids of five widths, each cell with the centres in and around it; a point looks into its own cell
     of each grid, and a centre found within a cell's width is the nearest one.  Points farther than that from all centres
-    are compared with every centre.  Cells go to the tasks while there are at most ``limit`` centres (checked); more raise.
+    are compared with every centre.  Cells go to the tasks while there are at most ``broadcast`` centres (counted); with more
+    they are joined by shuffle, one grid after the other, only points that have no centre yet going on to the next.  More
+    than ``limit`` centres raise, where that is given.
     """
-    if not at_most(centres, limit):
+    if limit is not None and not at_most(centres, limit):
         raise ValueError(f"more than {limit} centres")
     c = centres.select("id", *value).where(" and ".join(f"{v} is not null and not isnan({v})" for v in value)).distinct()
     spread = c.agg(F.count("*").alias("n"), *(F.max(v).alias(f"_h{i}") for i, v in enumerate(value)), *(F.min(v).alias(f"_l{i}") for i, v in enumerate(value))).first()
@@ -28,7 +32,7 @@ def nearest_centre(points: DataFrame, centres: DataFrame, value: list[str], limi
     if not spread["n"]:
         return out.withColumn("id", F.lit(None).cast(kind))
     wide = max(1e-9, *((spread[f"_h{i}"] - spread[f"_l{i}"]) / spread["n"] ** (1 / len(value)) for i in range(len(value))))
-    found = []
+    few, found, done = spread["n"] <= broadcast, [], []
     for level in range(5):
         side = wide * 8.0 ** (level - 3)
         near = c
@@ -38,22 +42,32 @@ def nearest_centre(points: DataFrame, centres: DataFrame, value: list[str], limi
         cells = near.groupBy(*keys).agg(F.collect_list(F.struct("id", *value)).alias(f"_near{level}"))
         for i, v in enumerate(value):
             out = out.withColumn(f"_k{i}", F.floor(F.col(v) / side))
-        out = out.join(F.broadcast(cells), keys, "left").drop(*keys)
+        out = out.join(F.broadcast(cells) if few else cells, keys, "left").drop(*keys)
         off = F.array_min(F.transform(f"_near{level}", lambda s: F.struct(sum((F.col(v) - s[v]) * (F.col(v) - s[v]) for v in value).alias("d"), s["id"].alias("id"))))
         found.append(F.when(off["d"] <= side * side, off["id"]))
-    out = out.select(*names, F.coalesce(*found).alias("id"))
-    rest = c.orderBy("id").toPandas()  # at most ``limit`` rows
+        if not few:
+            out, _ = cut(out.select(*names, found[-1].alias("id")), "nearest")
+            done.append(out.where("id is not null"))
+            out = out.where("id is null").select(*names)
+    if few:
+        out = out.select(*names, F.coalesce(*found).alias("id"))
+    elif out.isEmpty():
+        return reduce(DataFrame.unionByName, done)
+    else:
+        out = reduce(DataFrame.unionByName, done, out.withColumn("id", F.lit(None).cast(kind)))
+    rest = c.orderBy("id").toPandas()  # a few numbers a centre
     ids, where = rest["id"].to_numpy(), rest[value].to_numpy(dtype=float)
 
     def run(batches):
         for pdf in batches:
             x = pdf[value].to_numpy(dtype=float)
             best = np.empty(len(x), dtype=np.int64)
-            for i in range(0, len(x), 512):
-                d = np.zeros((len(x[i : i + 512]), len(where)))
+            block = max(1, min(512, 2_000_000 // len(where)))
+            for i in range(0, len(x), block):
+                d = np.zeros((len(x[i : i + block]), len(where)))
                 for j in range(len(value)):
-                    d += (x[i : i + 512, j, None] - where[None, :, j]) ** 2
-                best[i : i + 512] = d.argmin(1)
+                    d += (x[i : i + block, j, None] - where[None, :, j]) ** 2
+                best[i : i + block] = d.argmin(1)
             yield pdf.assign(id=ids[best])
 
     far = out.where("id is null").select(*names).mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema) + f", id {kind}")

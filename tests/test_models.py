@@ -63,6 +63,19 @@ def test_nearest_centre(spark):
         clustering.nearest_centre(pts, cs, ["lat", "lng"], limit=3)
 
 
+def test_nearest_of_many_centres(spark):
+    rng = np.random.default_rng(8)
+    where, at = rng.normal(0, 1, (200, 2)).tolist(), rng.normal(0, 1, (300, 2)).tolist() + [[50.0, -70.0], [0.0, 0.0]]
+    cs = spark.createDataFrame([(i, *w) for i, w in enumerate(where)] + [(900, *where[0])], "id int, lat double, lng double")
+    for pts in (at, at[:300]):
+        df = spark.createDataFrame([(i, *w) for i, w in enumerate(pts)], "tid int, lat double, lng double")
+        few, many = ({r.tid: r.id for r in clustering.nearest_centre(df, cs, ["lat", "lng"], broadcast=n).collect()} for n in (201, 5))
+        assert few == many and len(many) == len(pts)
+        assert all(many[i] == min(range(200), key=lambda k: (math.dist(where[k], w), k)) for i, w in enumerate(pts))
+    cs = spark.range(100_001).selectExpr("id", "double(id) as s")
+    assert {r.tid: r.id for r in clustering.nearest_centre(spark.createDataFrame([(1, 70_000.2), (2, -9e9)], "tid int, s double"), cs, ["s"]).collect()} == {1: 70_000, 2: 0}
+
+
 # mixtures
 
 
